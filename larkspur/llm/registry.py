@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import op7
+from .queries import op6, op7
 
-_MODULES = (op7,)
+_MODULES = (op6, op7)
 QUERIES = {m.NAME: m.run for m in _MODULES}
 ORACLES = {m.NAME: m.SQL for m in _MODULES if m.SQL}
