@@ -41,6 +41,14 @@ class Staged:
         _delete(self.spark, self.path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Rows fixed in their partitions and order, in the shared folder; the cleaner deletes them with the result."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
