@@ -6,13 +6,15 @@ are linked if 100 times the intersection is at least 80 times the union; groups
 1. One pass turns each text into a 128-bit name of its set, the set's size and 125 minimum hashes. Documents with equal
    sets are one node from there on, so copies cost no comparisons.
 2. 25 bands of 5 hashes: nodes that agree in a band share a bucket. A pair at the threshold is missed by all bands
-   with probability 5e-5. Each bucket compares its members with its smallest node only: as many rows as members.
+   with probability 5e-5. In the first ``HUB_BANDS`` bands each bucket compares its members with its smallest node
+   only: as many rows as members.
 3. Verification looks at batches of 25 hashes. After each, a pair goes if, given its matches and a uniform prior, the
    probability that its similarity reaches the threshold is below ``miss``. Whoever is left after the last batch is
    confirmed on the full sets, rebuilt from the two texts.
-4. Components of those links. What a bucket's hub can't decide are pairs in different components: members outside
-   the hub's component are compared with all the bucket's members, in blocks of ``BLOCK`` rows, by the same batches
-   and the same confirmation. So each pair of a bucket is in one component, or has been compared: no cap.
+4. Components of those links. What is undecided then are pairs of a bucket in different components: members outside
+   the bucket's home component are compared with all its members, in blocks of ``BLOCK`` rows, by the same batches,
+   within the task on 64-bit shingle sets, and what links is confirmed as before. So each pair of each bucket is in one component, or has been compared: no cap. Copies
+   and large families, which earlier steps have joined, are never enumerated as pairs.
 
 Cases: a text without words (or null) has an empty set, no links, and is its own component. With fewer words than a
 shingle has, the whole sequence is the one shingle. Null ids are ignored by the minimum; a group of only null ids has
@@ -37,7 +39,8 @@ from ._graph import connected_components, opaque
 
 BANDS, ROWS, BATCH = 25, 5, 25
 HASHES = BANDS * ROWS
-BLOCK = 2048
+HUB_BANDS = 5
+BLOCK = 1024
 MISS = 1e-6
 _WORDS_KEPT = 300_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -142,21 +145,42 @@ def _judge(least: tuple[int, ...], batches: Iterator[pa.RecordBatch]) -> Iterato
             yield batch.select([0, 1]).take(pa.array(keep))
 
 
-def _judge_blocks(least: tuple[int, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (bucket, i, j): those with side 0 against those with side 1, if in other components."""
+def _judge_blocks(least: tuple[int, ...], width: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between rows of (bucket, i, j): side 0 against side 1, in different components, in the pair's first common
+    band. Links found merge components, so those of one block form a forest."""
+    known = _WordHash()
     for group in sorted_groups(batches, ["bucket", "i", "j"]):
-        side = group.column("side").to_numpy()
-        names, comps, sigs = group.column("node").to_pylist(), group.column("component").to_pylist(), matrix(group.column("sig"), "<u4", HASHES)
+        names, comps, texts = (group.column(c).to_pylist() for c in ("node", "component", "text"))
+        sigs, band = matrix(group.column("sig"), "<u4", HASHES), group.column("band")[0].as_py()
+        side, away = group.column("side").to_numpy(), group.column("away").to_numpy(zero_copy_only=False)
         number = {c: i for i, c in enumerate(dict.fromkeys(comps))}
         comp = np.array([number[c] for c in comps])
+        rank = np.empty(len(names), np.int64)
+        rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
         right = np.flatnonzero(side == 1)
-        pairs = []
+        sets: dict[int, set[int]] = {}
+
+        def of(i: int) -> set[int]:
+            if i not in sets:
+                sets[i] = set(shingle_hashes(words_of(texts[i]), width, known).tolist())
+            return sets[i]
+
+        found = []
         for x in np.flatnonzero(side == 0):
-            other = right[comp[right] != comp[x]]
-            if len(other):
-                pairs += [(min(names[x], names[y]), max(names[x], names[y])) for y in other[survivors(sigs[[x]], sigs[other], least)]]
-        if pairs:
-            a, b = zip(*set(pairs), strict=True)
+            other = right[(comp[right] != comp[x]) & (~away[right] | (rank[right] > rank[x]))]
+            if not len(other):
+                continue
+            other = other[survivors(sigs[[x]], sigs[other], least)]
+            common = (sigs[other] == sigs[x]).reshape(-1, BANDS, ROWS).all(axis=2)
+            for y in other[common.argmax(axis=1) == band]:
+                if comp[x] != comp[y]:
+                    p, q = of(x), of(y)
+                    both = len(p & q)
+                    if 100 * both >= percent * (len(p) + len(q) - both):
+                        found.append((min(names[x], names[y]), max(names[x], names[y])))
+                        comp[comp == comp[y]] = comp[x]
+        if found:
+            a, b = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
@@ -184,19 +208,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     sigs = nodes.select("node", "sig")
     least = least_matches(percent / 100, miss)
 
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
-    banded = sigs.select("node", F.explode(keys).alias("bucket"))
-    hubs = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = Staged(banded.join(hubs.select(opaque("bucket").alias("k"), "hub"), F.col("bucket") == F.col("k")).select("bucket", "node", "hub"), "members").df
+    def bands(rows: DataFrame, n: int) -> DataFrame:
+        keys = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
+        return rows.select("node", *(c for c in rows.columns if c == "component"), F.posexplode(keys).alias("band", "bucket"))
+
+    def grouped(stars: DataFrame) -> DataFrame:
+        """Nodes with the component that they are in so far."""
+        return nodes.join(stars.withColumnRenamed("node", "s"), F.col("node") == F.col("s"), "left").select("node", F.coalesce("component", "node").alias("component"), "sig")
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        judged = _with(pairs, sigs, "sig").mapInArrow(functools.partial(_judge, least), "a binary, b binary")
+        return _confirmed(judged, nodes, keyed, width, percent)
+
+    def merged(stars: DataFrame, links: DataFrame) -> DataFrame:
+        if links.isEmpty():
+            return stars
+        return Staged(connected_components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)), "stars").df
 
-    pairs = members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = _confirmed(_with(pairs, sigs, "sig").mapInArrow(functools.partial(_judge, least), "a binary, b binary"), nodes, keyed, width, percent)
-    stars = Staged(connected_components(links), "stars").df
-    labelled = members.join(stars.withColumnRenamed("node", "s"), F.col("node") == F.col("s"), "left").select("bucket", "node", "hub", F.coalesce("component", "node").alias("component"))
-    rest = _confirmed(_undecided(labelled, sigs, least), nodes, keyed, width, percent)
-    if not rest.isEmpty():
-        edges = stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)
-        stars = connected_components(edges)
+    first = bands(sigs, HUB_BANDS)
+    hubs = first.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select(opaque("bucket").alias("k"), "hub")
+    pairs = first.join(hubs, F.col("bucket") == F.col("k")).where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    stars = Staged(connected_components(tested(pairs)), "stars").df
+
+    members = _members(bands(grouped(stars), BANDS))
+    wanted = members.select("node").distinct()
+    texts = _texts(wanted, nodes, keyed)
+    rest = _undecided(members, sigs, texts, least, width, percent)
+    stars = merged(stars, _confirmed(rest, nodes, keyed, width, percent))
 
     named = nodes.select("node", "least_id").join(stars.withColumnRenamed("node", "s"), F.col("node") == F.col("s"), "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
     named = Staged(named, "named").df
@@ -214,32 +252,41 @@ def _with(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
     return pairs.select("a", "b", f"a_{column}", f"b_{column}")
 
 
+def _texts(wanted: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
+    """node, text: for each wanted node a text that has its set."""
+    refs = wanted.select(opaque("node").alias("w")).join(nodes, F.col("w") == F.col("node")).select("node", F.col("ref.doc_id").alias("i"), F.col("ref.text_key").alias("k"))
+    found = keyed.join(refs, keyed["doc_id"].eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")))
+    return Staged(found.groupBy("node").agg(F.min("text").alias("text")), "texts").df
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the pairs that the full sets of their texts confirm."""
     pairs = Staged(pairs.distinct(), "pairs").df
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct().select(opaque("w").alias("w"))
-    refs = wanted.join(nodes, F.col("w") == F.col("node")).select("node", F.col("ref.doc_id").alias("i"), F.col("ref.text_key").alias("k"))
-    found = keyed.join(refs, keyed["doc_id"].eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")))
-    texts = Staged(found.groupBy("node").agg(F.min("text").alias("text")), "texts").df
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, keyed)
     full = _with(pairs, texts, "text").sortWithinPartitions("a")
     return Staged(full.mapInArrow(functools.partial(_confirm, width, percent), "a binary, b binary"), "links").df
 
 
-def _undecided(labelled: DataFrame, sigs: DataFrame, least: tuple[int, ...]) -> DataFrame:
-    """Pairs of a bucket's members in different components that the batches don't rule out; hubs' pairs are done."""
-    away = F.col("component") != F.col("hub_component")
-    home = labelled.where("node = hub").select("bucket", F.col("component").alias("hub_component"))
-    members = labelled.join(home.select(opaque("bucket").alias("k"), "hub_component"), F.col("bucket") == F.col("k")).drop("k")
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if(away).alias("away")).where("away > 0 and n > 2")
-    sizes = sizes.select(opaque("bucket").alias("k"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nj"), F.ceil(F.col("away") / BLOCK).cast("int").alias("ni"))
-    mixed = members.join(sizes, F.col("bucket") == F.col("k")).where("node != hub").drop("k")
+def _members(banded: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component; away: outside the bucket's home component."""
+    homes = banded.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "node").alias("home"))
+    homes = homes.where("low != high").select(opaque("bucket").alias("k"), "home")
+    return Staged(banded.join(homes, F.col("bucket") == F.col("k")).select("band", "bucket", "node", "component", (F.col("component") != F.col("home")).alias("away")), "members").df
+
+
+def _undecided(members: DataFrame, sigs: DataFrame, texts: DataFrame, least: tuple[int, ...], width: int, percent: int) -> DataFrame:
+    """Links between a bucket's members in different components: those away meet all members, in blocks."""
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("away").alias("away_n"))
+    sizes = sizes.select(opaque("bucket").alias("k"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nj"), F.ceil(F.col("away_n") / BLOCK).cast("int").alias("ni"))
+    mixed = members.join(sizes, F.col("bucket") == F.col("k")).drop("k")
     place = F.xxhash64("node")
-    left = mixed.where(away).withColumn("i", F.pmod(place, F.col("ni")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1))).withColumn("side", F.lit(0))
+    left = mixed.where("away").withColumn("i", F.pmod(place, F.col("ni")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1))).withColumn("side", F.lit(0))
     right = mixed.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1))).withColumn("j", F.pmod(place, F.col("nj")).cast("int")).withColumn("side", F.lit(1))
-    cols = ["bucket", "i", "j", "side", "node", "component"]
-    rows = left.select(*cols).unionByName(right.select(*cols)).join(sigs.withColumnRenamed("node", "s"), F.col("node") == F.col("s")).drop("s")
+    cols = ["bucket", "i", "j", "side", "band", "node", "component", "away"]
+    bodies = sigs.join(texts.withColumnRenamed("node", "t"), F.col("node") == F.col("t")).select(F.col("node").alias("s"), "sig", "text")
+    rows = left.select(*cols).unionByName(right.select(*cols)).join(bodies, F.col("node") == F.col("s")).drop("s")
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return rows.mapInArrow(functools.partial(_judge_blocks, least), "a binary, b binary")
+    return rows.mapInArrow(functools.partial(_judge_blocks, least, width, percent), "a binary, b binary")
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
