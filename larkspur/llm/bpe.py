@@ -11,7 +11,7 @@ file's own pattern, bytes as letters, a suffix at a word's end. Special tokens i
 Cases: a null or empty text, or one of white space only, has no ids and decodes to the empty text. Ids out of the
 vocabulary raise an error in decoding; a null list of ids decodes as an empty one. Columns that the caller has beside
 the text are kept as they are; the caller names the new ones. Texts of any length are encoded whole: the index grows
-with the longest word, the rest is bounded by ``SLICE`` characters or one text.
+with the longest word, the rest is bounded by ``SLICE`` bytes or one text.
 """
 
 from __future__ import annotations
@@ -26,11 +26,15 @@ from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-SLICE = 2_000_000
-WORDS_KEPT = 350_000
+SLICE = 1_000_000
+WORDS_KEPT = 300_000
+#: Bits of an id in a pair; the largest number stands between words.
+_ID = 24
+_END = (1 << _ID) - 1
 
 
 def byte_letters() -> list[str]:
@@ -61,10 +65,11 @@ class WordBPE:
         self.words = regex.compile(pattern)
         # The same pattern for lower-case ASCII, where the classes are short.
         self.ascii_words = re.compile(pattern.replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"[^\s\p{L}\p{N}]", r"[^\t-\r a-z0-9]"))
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        #: A pair, as one number, to its rank and the id that it makes.
+        self.ranks: dict[int, tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
+            self.ranks.setdefault(self.vocab[a] << _ID | self.vocab[b], (rank, self.vocab[a + b]))
         letters = byte_letters()
         self.inner = [self.vocab[x] for x in letters]
         self.final = [self.vocab[x + self.suffix] for x in letters]
@@ -72,7 +77,7 @@ class WordBPE:
         for rank, z in self.ranks.values():
             made[z] = max(made[z], rank)
         #: Whether each merge ranks after all that make its parts; then ascending ranks never go back.
-        self.ascending = all(rank > max(made.get(a, -1), made.get(b, -1)) for (a, b), (rank, _) in self.ranks.items())
+        self.ascending = all(rank > max(made.get(a, -1), made.get(b, -1)) for a, b, rank in ((k >> _ID, k & _END, v[0]) for k, v in self.ranks.items()))
         self.known: dict[str, tuple[int, ...]] = {t: (i,) for t, i in self.special.items()}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -111,59 +116,55 @@ class WordBPE:
     def _stepwise(self, word: str) -> tuple[int, ...]:
         s, ranks = self._symbols(word), self.ranks
         while len(s) > 1:
-            best = min(((ranks[p][0], i) for i, p in enumerate(zip(s, s[1:], strict=False)) if p in ranks), default=None)
+            best = min(((ranks[p][0], i) for i, p in enumerate(a << _ID | b for a, b in zip(s, s[1:], strict=False)) if p in ranks), default=None)
             if best is None:
                 break
             i = best[1]
-            s[i : i + 2] = [ranks[s[i], s[i + 1]][1]]
+            s[i : i + 2] = [ranks[s[i] << _ID | s[i + 1]][1]]
         return tuple(s)
 
     def _index(self, words: list[str]) -> None:
-        ranks = self.ranks
+        ranks, inner, final = self.ranks, self.inner, self.final
         sym: list[int] = []
         starts = []
         for w in words:
+            b = w.encode()
             starts.append(len(sym))
-            sym += self._symbols(w)
-            sym.append(-1)  # no pair crosses a word's end
+            sym += [inner[x] for x in b]
+            sym[-1] = final[b[-1]]
+            sym.append(_END)  # no pair crosses a word's end
         n = len(sym)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        places: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for i, pair in enumerate(zip(sym, sym[1:], strict=False)):
+        places: dict[int, list[int]] = defaultdict(list)
+        for i, pair in enumerate([a << _ID | b for a, b in zip(sym, sym[1:], strict=False)]):
             if pair in ranks:
                 places[pair].append(i)
-        active = [(ranks[p][0], p) for p in places]
+        active = [(*ranks[p], p) for p in places]
         heapq.heapify(active)
         while active:
-            _, pair = heapq.heappop(active)
-            where = places.pop(pair, None)
-            if not where:
-                continue
-            a, b = pair
-            z = ranks[pair][1]
+            rank, z, pair = heapq.heappop(active)
+            where = places.pop(pair)
+            a, b = pair >> _ID, pair & _END
             where.sort()
+            left = z << _ID
             for i in where:
-                j = after[i]
-                if sym[i] != a or j >= n or sym[j] != b:
+                if sym[i] != a or sym[j := after[i]] != b:
                     continue  # an earlier merge took one of the two
-                k = after[j]
-                sym[i], sym[j] = z, -2
-                after[i] = k
-                if k < n:
-                    before[k] = i
-                    if (p := (z, sym[k])) in ranks:
-                        if p not in places:
-                            heapq.heappush(active, (ranks[p][0], p))
-                        places[p].append(i)
-                h = before[i]
-                if h >= 0 and (p := (sym[h], z)) in ranks:
+                after[i] = k = after[j]
+                before[k] = i
+                sym[i], sym[j] = z, -1
+                if (p := left | sym[k]) in ranks:
                     if p not in places:
-                        heapq.heappush(active, (ranks[p][0], p))
+                        heapq.heappush(active, (*ranks[p], p))
+                    places[p].append(i)
+                if (h := before[i]) >= 0 and (p := sym[h] << _ID | z) in ranks:
+                    if p not in places:
+                        heapq.heappush(active, (*ranks[p], p))
                     places[p].append(h)
         for w, i in zip(words, starts, strict=True):
             out = []
-            while sym[i] != -1:
-                out.append(sym[i])
+            while (x := sym[i]) != _END:
+                out.append(x)
                 i = after[i]
             self.known[w] = tuple(out)
 
@@ -183,34 +184,43 @@ def load(path: str) -> WordBPE:
     return WordBPE(path)
 
 
-def _encode(path: str, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most ``SLICE`` bytes of text in all, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+    s = total = 0
+    for e, size in enumerate(sizes):
+        if e > s and total + size > SLICE:
+            yield batch.slice(s, e - s)
+            s, total = e, 0
+        total += size
+    if s < len(sizes):
+        yield batch.slice(s)
+
+
+def _encode(path: str, at: int, decoded: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bpe = load(path)
     for batch in batches:
-        texts = batch.column(at).to_pylist()
-        s = 0
-        while s < len(texts):
-            e, size = s, 0
-            while e < len(texts) and (e == s or size + len(texts[e] or "") <= SLICE):
-                size += len(texts[e] or "")
-                e += 1
-            ids = pa.array(bpe.encode(texts[s:e]), pa.list_(pa.int32()))
-            part = batch.slice(s, e - s)
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns) if i != at), ids], [*(n for i, n in enumerate(part.schema.names) if i != at), "ids"])
-            s = e
+        for part in _slices(batch, at):
+            ids = bpe.encode(part.column(at).to_pylist())
+            new = {"ids": pa.array(ids, pa.list_(pa.int32()))} | ({"decoded": pa.array(map(bpe.decode, ids), pa.string())} if decoded else {})
+            rest = [i for i in range(part.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), *new.values()], [*(part.schema.names[i] for i in rest), *new])
 
 
 def _decode(path: str, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bpe = load(path)
     for batch in batches:
-        texts = pa.array([bpe.decode(x or ()) for x in batch.column(at).to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
+        for s in range(0, batch.num_rows, 256):
+            part = batch.slice(s, 256)
+            texts = pa.array([bpe.decode(x or ()) for x in part.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
 
 
-def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The columns in ``keep``, and ids: the text's token ids."""
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", decoded: bool = False) -> DataFrame:
+    """The columns in ``keep``, and ids: the text's token ids; with ``decoded``, also the text that they decode to."""
     chosen = docs.select(*keep, text)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(functools.partial(_encode, path, len(keep)), f"{types}, ids array<int>")
+    return chosen.mapInArrow(functools.partial(_encode, path, len(keep), decoded), f"{types}, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from .._common import table
-from ..bpe import decode, encode
+from ..bpe import encode
 
 NAME = "op4_bpe"
 SQL = None
@@ -14,7 +14,7 @@ def vocabulary() -> str:
 
 
 def digests(docs, path):
-    coded = decode(encode(docs, path), path)
+    coded = encode(docs, path, decoded=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
