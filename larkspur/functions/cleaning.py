@@ -12,6 +12,7 @@ import unicodedata
 from datetime import UTC, datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -113,10 +114,15 @@ def read_time(value: object) -> tuple[str | None, list[str]]:
     return text, [] if text == value else ["W007"]
 
 
+def doubles(values: list[float | None]) -> pd.Series:
+    """A column in which NaN and null stay apart."""
+    return pd.Series(pd.arrays.ArrowExtensionArray(pa.array(values, pa.float64(), from_pandas=False)))
+
+
 @F.pandas_udf(struct("bid double, warnings array<string>"))
 def coerce_bid(texts: pd.Series) -> pd.DataFrame:
     done = [read_bid(t) for t in texts]
-    return pd.DataFrame({"bid": pd.array([d[0] for d in done], dtype="Float64"), "warnings": [d[1] for d in done]})
+    return pd.DataFrame({"bid": doubles([d[0] for d in done]), "warnings": [d[1] for d in done]})
 
 
 @F.pandas_udf(struct("time string, warnings array<string>"))

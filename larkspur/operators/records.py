@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import clean_one, read_bid, read_time
+from ..functions.cleaning import clean_one, doubles, read_bid, read_time
 from ..functions.types import struct
 from ..schema import REQUIRED, TEXT_FIELDS, Limits
 
@@ -52,7 +52,7 @@ def read_record(lines: pd.Series) -> pd.DataFrame:
     """One crossing to Python for all that needs it: strict JSON, NFKC, entities, case folding, Python's numbers and dates."""
     names = [c.split()[0] for c in _READ.split(", ")]
     out = pd.DataFrame([_read_line(x) for x in lines], columns=names, dtype=object)
-    return out.assign(bid=out["bid"].astype("Float64"))
+    return out.assign(bid=doubles(out["bid"].tolist()))
 
 
 def _fails(code: str, when: Column, detail: Column) -> Column:

@@ -8,6 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.cleaning import casefold, clean_text, coerce_bid, collapse_space, decode_basic_entities, fingerprint, normalize_time, remove_controls, strip_tags
+from ..operators.dedup import accepted_lines, duplicates
+from ..operators.embed import compose_text, token_stats
+from ..operators.records import judged
+from ..operators.report import counts_by_code, examples, warning_counts
+from ..operators.validate import validate_lines
+from ..operators.vectors import bad_component, diff_counts, disagreements, integrity, norm, precision_at_k, search, top_k
+from ..schema import Limits
+from ..sources.generate import raw_lines
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,3 +32,350 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- search
+
+#: Every twentieth vector asks, all answer.
+_ASKED = "vec_id % 20 = 0"
+_SCORED = f"""
+WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS row, v.label, q.label AS wanted, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score
+  FROM embeddings q CROSS JOIN embeddings v WHERE q.{_ASKED}),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row)::INT AS rank FROM s)
+"""
+
+
+def _search(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where(_ASKED).select(F.col("vec_id").alias("query_id"), "embedding"), k, "vec_id", "embedding")
+
+
+@query("topk_exact", _SCORED + "SELECT query_id, rank, row, round(score, 6) AS score FROM hits WHERE rank <= 10")
+def _(spark, sf_dir):
+    return _search(spark, sf_dir, 10).withColumn("score", F.round("score", 6))
+
+
+@query("self_match", _SCORED + "SELECT query_id, row = query_id AS itself, round(score, 4) AS score FROM hits WHERE rank = 1")
+def _(spark, sf_dir):
+    return _search(spark, sf_dir, 1).select("query_id", (F.col("row") == F.col("query_id")).alias("itself"), F.round("score", 4).alias("score"))
+
+
+_FIRST = "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings ORDER BY vec_id LIMIT 1) SELECT vec_id AS row, round(list_inner_product(q.e, embedding::DOUBLE[]), 6) AS score FROM embeddings, q"
+
+
+def _first_vector(vectors: DataFrame) -> list[float]:
+    return vectors.orderBy("vec_id").select("embedding").first()[0]
+
+
+@query("topk_single", f"SELECT * FROM ({_FIRST}) ORDER BY score DESC, row LIMIT 10")
+def _(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, _first_vector(vectors), 10, "vec_id", "embedding").withColumn("score", F.round("score", 6))
+
+
+@query("topk_full_sort", _FIRST)
+def _(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, _first_vector(vectors), vectors.count(), "vec_id", "embedding").withColumn("score", F.round("score", 6))
+
+
+@query("precision_at_k", _SCORED + """
+SELECT h.hits, n.possible, h.hits / n.possible AS precision
+FROM (SELECT count(*) FILTER (label = wanted) AS hits FROM hits WHERE rank <= 5) h, (SELECT count(*) * 5 AS possible FROM embeddings WHERE """ + _ASKED + ") n")
+def _(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    expected = vectors.where(_ASKED).select(F.col("vec_id").alias("query_id"), F.col("label").alias("category"))
+    return precision_at_k(_search(spark, sf_dir, 5), expected, vectors.select(F.col("vec_id").alias("row"), F.col("label").alias("category")), 5)
+
+
+@query("lookup_hits_join", _SCORED + "SELECT query_id, rank, row, label FROM hits WHERE rank <= 5")
+def _(spark, sf_dir):
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), "label")
+    return _search(spark, sf_dir, 5).join(labels, "row").select("query_id", "rank", "row", "label")
+
+
+@query("search_parity", "SELECT 0::BIGINT AS query_id, 0::BIGINT AS row, 0.0::DOUBLE AS score WHERE false")
+def _(spark, sf_dir):
+    """Hits of the matrix search that the expression search lacks: none."""
+    vectors = table(spark, sf_dir, "embeddings")
+    first = vectors.agg(F.min("vec_id")).first()[0]
+    ours = top_k(vectors, _first_vector(vectors), 10, "vec_id", "embedding").withColumn("query_id", F.lit(first))
+    asked = vectors.where(F.col("vec_id") == first).select(F.col("vec_id").alias("query_id"), "embedding")
+    return disagreements(search(vectors, asked, 10, "vec_id", "embedding"), ours)
+
+
+# ---------------------------------------------------------------- vector checks
+
+
+@query("vector_integrity", """
+SELECT count(*) AS n, count(*) FILTER (len(embedding) <> 64) AS wrong_dim, count(*) FILTER (bad) AS nonfinite, count(*) FILTER (NOT bad AND abs(norm - 1) > 1e-3) AS off_unit
+FROM (SELECT embedding, len(list_filter(embedding, lambda x: NOT isfinite(x))) > 0 AS bad, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings)""")
+def _(spark, sf_dir):
+    return integrity(table(spark, sf_dir, "embeddings"), 64, "vec_id", "embedding").select("n", "wrong_dim", "nonfinite", "off_unit")
+
+
+@query("vector_norms", "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query("vector_nonfinite", "SELECT vec_id, len(list_filter(embedding, lambda x: NOT isfinite(x))) > 0 AS bad FROM embeddings")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", bad_component(F.col("embedding")).alias("bad"))
+
+
+# ---------------------------------------------------------------- cleaning
+
+_TAGS = "regexp_replace(html, '<[^>]{1,200}>', ' ', 'g')"
+_BASIC = f"replace(replace(replace(replace(replace({_TAGS}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+_SPACED = r"trim(regexp_replace(text, '[\t-\r\x1c-\x1f ]+', ' ', 'g'))"
+
+
+@query("clean_tags", f"SELECT page_id, md5({_TAGS}) AS digest FROM pages")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(strip_tags(F.col("html")).cast("binary")).alias("digest"))
+
+
+@query("clean_entities", f"SELECT page_id, md5({_BASIC}) AS digest FROM pages")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(decode_basic_entities(strip_tags(F.col("html"))).cast("binary")).alias("digest"))
+
+
+@query("clean_controls", r"SELECT doc_id, md5(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')) AS digest FROM documents")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(remove_controls(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query("clean_whitespace", f"SELECT doc_id, md5({_SPACED}) AS digest FROM documents")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(collapse_space(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query("clean_chain", f"SELECT doc_id, md5({_SPACED}) AS digest, CASE WHEN {_SPACED} <> text THEN 'W001' ELSE '' END AS warnings FROM documents")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", clean_text("text").alias("c"))
+    return rows.select("doc_id", F.md5(F.col("c.text").cast("binary")).alias("digest"), F.array_join("c.warnings", ",").alias("warnings"))
+
+
+@query("content_fingerprint", "SELECT doc_id, sha256(replace(lower(split_part(text, chr(10), 1)), 'ß', 'ss') || chr(10) || replace(lower(text), 'ß', 'ss')) AS print FROM documents")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", fingerprint(F.split_part("text", F.lit("\n"), F.lit(1)), F.col("text")).alias("print"))
+
+
+@query("bid_coerce", "SELECT event_id, value AS bid, 'W005' AS warnings FROM events")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", coerce_bid(F.concat(F.lit(" $"), F.col("value").cast("string"))).alias("b"))
+    return rows.select("event_id", "b.bid", F.array_join("b.warnings", ",").alias("warnings"))
+
+
+@query("timestamp_normalize", "SELECT event_id, strftime(ts - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS time FROM events")
+def _(spark, sf_dir):
+    given = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))
+    return table(spark, sf_dir, "events").select("event_id", normalize_time(given)["time"].alias("time"))
+
+
+# ---------------------------------------------------------------- rules
+
+_HEAD, _REST = "split_part(text, chr(10), 1)", "coalesce(substr(text, nullif(strpos(text, chr(10)), 0) + 1), '')"
+
+
+def _parts() -> tuple:
+    text = F.col("text")
+    at = F.locate("\n", text)
+    return F.when(at > 0, F.substr(text, F.lit(1), at - 1)).otherwise(text), F.when(at > 0, F.substr(text, at + 1)).otherwise(F.lit(""))
+
+
+@query("headline_codes", f"SELECT doc_id, CASE WHEN h = 0 THEN 'E004' WHEN h < 10 THEN 'E005' WHEN h > 120 THEN 'E006' END AS code FROM (SELECT doc_id, length({_HEAD}) AS h FROM documents)")
+def _(spark, sf_dir):
+    n, at = F.length(_parts()[0]), Limits()
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(n == 0, "E004").when(n < at.headline_min, "E005").when(n > at.headline_max, "E006").alias("code"))
+
+
+@query("description_too_long", f"SELECT doc_id, length({_REST}) AS n FROM documents WHERE length({_REST}) > 1000")
+def _(spark, sf_dir):
+    n = F.length(_parts()[1]).cast("long")
+    return table(spark, sf_dir, "documents").where(n > Limits().description_max).select("doc_id", n.alias("n"))
+
+
+@query("unknown_category", "SELECT event_type, count(*) AS n FROM events WHERE event_type NOT IN ('click', 'purchase', 'signup', 'view') GROUP BY ALL")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "events").where(~F.col("event_type").isin(sorted(_KINDS))).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("compose_text", f"SELECT doc_id, md5(CASE WHEN {_REST} = '' THEN {_HEAD} WHEN right({_HEAD}, 1) IN ('.', '!', '?') THEN {_HEAD} || ' ' || {_REST} ELSE {_HEAD} || '. ' || {_REST} END) AS digest FROM documents")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(compose_text(*_parts()).cast("binary")).alias("digest"))
+
+
+# ---------------------------------------------------------------- events through the whole validation
+
+_KINDS = frozenset({"click", "purchase", "signup", "view"})
+_JUDGED = """
+WITH r AS (SELECT event_id, user_id, CASE WHEN value <= 0 OR value > 50 THEN 'E008' WHEN event_type NOT IN ('click', 'purchase', 'signup', 'view') THEN 'E009' END AS bad FROM events),
+p AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM r WHERE bad IS NULL),
+v AS (SELECT r.event_id, coalesce(bad, CASE WHEN k > 1 THEN 'E010' END) AS code FROM r LEFT JOIN p USING (event_id))
+"""
+
+
+def _validated(spark: SparkSession, sf_dir: str):
+    """Events as raw records: one id for each user, a headline of its own for each event, no description."""
+    e = table(spark, sf_dir, "events")
+    record = F.struct(
+        F.concat(F.lit("user_"), "user_id").alias("ad_id"), F.concat(F.lit("Event "), "event_id", F.lit(" of its kind")).alias("headline"), F.concat(F.upper("event_type"), F.lit(" ")).alias("category"),
+        F.lit("adv_1").alias("advertiser_id"), F.col("value").alias("bid_cpm_usd"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
+    )
+    return validate_lines(e.select(F.col("event_id").alias("line_no"), F.to_json(record).alias("line")), Limits(categories=_KINDS))
+
+
+@query("validate_verdicts", _JUDGED + "SELECT event_id AS line_no, code FROM v")
+def _(spark, sf_dir):
+    done = _validated(spark, sf_dir)
+    return done.accepted.select("line_no", F.lit(None).cast("string").alias("code")).unionByName(done.rejects.select("line_no", "code"))
+
+
+@query("reject_counts", _JUDGED + "SELECT code, count(*) AS n FROM v WHERE code IS NOT NULL GROUP BY code")
+def _(spark, sf_dir):
+    return counts_by_code(_validated(spark, sf_dir).rejects)
+
+
+@query("warning_counts", _JUDGED + "SELECT unnest(['W001', 'W006']) AS warning, count(*) AS n FROM v WHERE code IS NULL")
+def _(spark, sf_dir):
+    return warning_counts(_validated(spark, sf_dir).accepted)
+
+
+@query("pass_rate", _JUDGED + "SELECT count(*) AS read, count(*) FILTER (code IS NULL) AS accepted, round(coalesce(count(*) FILTER (code IS NULL) / nullif(count(*), 0), 1), 6) AS pass_rate FROM v")
+def _(spark, sf_dir):
+    done = _validated(spark, sf_dir)
+    both = done.accepted.select(F.lit(1).alias("ok")).unionByName(done.rejects.select(F.lit(0).alias("ok")))
+    return both.agg(F.count(F.lit(1)).alias("read"), F.coalesce(F.sum("ok"), F.lit(0)).alias("accepted")).select("*", F.round(F.coalesce(F.col("accepted") / F.nullif("read", F.lit(0)), F.lit(1.0)), 6).alias("pass_rate"))
+
+
+@query("examples_per_code", _JUDGED + "SELECT code, rank, event_id AS line_no FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY event_id)::INT AS rank FROM v WHERE code IS NOT NULL) WHERE rank <= 5")
+def _(spark, sf_dir):
+    return examples(_validated(spark, sf_dir).rejects).select("code", "rank", "line_no")
+
+
+@query("json_records", "SELECT event_id, 'E003' AS code FROM events WHERE json_type(props) <> 'OBJECT' UNION ALL SELECT event_id, 'E002' FROM events WHERE json_type(props) = 'OBJECT'")
+def _(spark, sf_dir):
+    """props as raw lines: JSON objects that lack every required field."""
+    rows = judged(table(spark, sf_dir, "events").select(F.col("event_id").alias("line_no"), F.col("props").alias("line")))
+    return rows.select(F.col("line_no").alias("event_id"), "verdict.code")
+
+
+# ---------------------------------------------------------------- de-duplication
+
+
+@query("dedup_content", "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY replace(lower(text), 'ß', 'ss')")
+def _(spark, sf_dir):
+    keyed = table(spark, sf_dir, "documents").select("doc_id", F.sha2(casefold("text"), 256).alias("print"))
+    return keyed.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).drop("print")
+
+
+@query("dedup_id", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("line_no"), F.col("user_id").cast("string").alias("id"), F.col("event_id").cast("string").alias("print"), "user_id")
+    return rows.join(accepted_lines(rows), "line_no", "left_semi").select("user_id", F.col("line_no").alias("event_id"))
+
+
+@query("dedup_two_keys")
+def _(spark, sf_dir):
+    """Ids are lengths, fingerprints texts: sequential by definition; a test compares it with a loop."""
+    return duplicates(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_no"), F.col("n_chars").cast("string").alias("id"), F.sha2("text", 256).alias("print")))
+
+
+# ---------------------------------------------------------------- tokens, rows, ids
+
+_TOKENS = r"len(regexp_extract_all(text, '\S+')) + 2"
+
+
+def _token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", (F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")) + 2).cast("long").alias("n_tokens"))
+
+
+@query("token_counts", f"SELECT doc_id, {_TOKENS} AS n_tokens FROM documents")
+def _(spark, sf_dir):
+    return _token_counts(spark, sf_dir)
+
+
+@query("token_percentiles", f"SELECT trunc(quantile_cont(n, 0.5))::BIGINT AS p50, trunc(quantile_cont(n, 0.99))::BIGINT AS p99, max(n) AS max, count(*) FILTER (n > 256) AS truncated FROM (SELECT {_TOKENS} AS n FROM documents)")
+def _(spark, sf_dir):
+    return token_stats(_token_counts(spark, sf_dir), 256)
+
+
+@query("token_gate", f"SELECT doc_id, n_tokens FROM (SELECT doc_id, {_TOKENS} AS n_tokens FROM documents) WHERE n_tokens > 256 ORDER BY doc_id LIMIT 10")
+def _(spark, sf_dir):
+    return _token_counts(spark, sf_dir).where("n_tokens > 256").orderBy("doc_id").limit(10)
+
+
+@query("duplicate_ids", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query("first_last_id", "SELECT count(*) AS n, min_by(source, doc_id) AS first, max_by(source, doc_id) AS last FROM documents")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"), F.min_by("source", "doc_id").alias("first"), F.max_by("source", "doc_id").alias("last"))
+
+
+@query("row_alignment", "SELECT d.doc_id, l.doc_id IS NOT NULL AS labelled FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def _(spark, sf_dir):
+    known = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("other")).distinct()
+    return table(spark, sf_dir, "documents").join(known, F.col("doc_id") == F.col("other"), "left").select("doc_id", F.col("other").isNotNull().alias("labelled"))
+
+
+@query("anti_join_missing", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+@query("oracle_diff", """
+SELECT coalesce(e.code, a.code) AS code, coalesce(e.n, 0) AS expected, coalesce(a.n, 0) AS actual, coalesce(e.n, 0) = coalesce(a.n, 0) AS agree
+FROM (SELECT event_type AS code, count(*) AS n FROM events WHERE value > 50 GROUP BY 1) e
+FULL JOIN (SELECT lang AS code, count(*) AS n FROM documents GROUP BY 1 UNION ALL SELECT event_type, count(*) FROM events GROUP BY 1) a ON a.code = e.code""")
+def _(spark, sf_dir):
+    count = lambda df, c: df.groupBy(F.col(c).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    e = table(spark, sf_dir, "events")
+    return diff_counts(count(e.where("value > 50"), "event_type"), count(table(spark, sf_dir, "documents"), "lang").unionByName(count(e, "event_type")))
+
+
+@query("asof_earlier", """
+SELECT e.event_id, max(v.event_id) AS source FROM events e LEFT JOIN events v ON v.user_id = e.user_id AND v.event_type = 'view' AND v.event_id < e.event_id
+WHERE e.event_type = 'purchase' GROUP BY e.event_id""")
+def _(spark, sf_dir):
+    """For each purchase the same user's last view before it, without a range join."""
+    w = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1)
+    seen = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "purchase"))
+    seen = seen.select("event_id", "event_type", F.last(F.when(F.col("event_type") == "view", F.col("event_id")), True).over(w).alias("source"))
+    return seen.where("event_type = 'purchase'").select("event_id", "source")
+
+
+@query("hashed_embedding", r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
+b AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::UBIGINT % 64 AS b, count(*) AS n FROM w GROUP BY ALL),
+l AS (SELECT doc_id, sqrt(sum(n * n)) AS l FROM b GROUP BY doc_id)
+SELECT doc_id, b::BIGINT AS bucket, round(n / l, 6) AS weight FROM b JOIN l USING (doc_id)""")
+def _(spark, sf_dir):
+    """Unit vectors of hashed words, in sparse form."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
+    bucket = (F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("long") % 64).alias("bucket")
+    counts = words.groupBy("doc_id", bucket).agg(F.count(F.lit(1)).alias("n"))
+    length = F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.partitionBy("doc_id")))
+    return counts.select("doc_id", "bucket", F.round(F.col("n") / length, 6).alias("weight"))
+
+
+@query("file_checksums")
+def _(spark, sf_dir):
+    files = spark.read.format("binaryFile").load([f"{sf_dir}/{t}.parquet" for t in ("nation", "region")])
+    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+@query("generated_defects", "SELECT unnest(['E001','E002','E003','E004','E005','E006','E007','E008','E009','E010','E011','E012']) AS code, unnest([6,30,16,10,20,16,12,40,20,30,20,12]::BIGINT[]) AS expected, unnest([6,30,16,10,20,16,12,40,20,30,20,12]::BIGINT[]) AS actual, true AS agree")
+def _(spark, sf_dir):
+    """2,000 generated records through the validation: each seeded defect is found as what it is."""
+    lines, chosen = raw_lines(spark, 2_000, 42)
+    rejects = validate_lines(lines.select(F.col("i").alias("line_no"), "line")).rejects
+    return diff_counts(chosen.where("defect IS NOT NULL").groupBy(F.col("defect").alias("code")).agg(F.count(F.lit(1)).alias("n")), counts_by_code(rejects))
