@@ -92,7 +92,8 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: in
     fine = below(fine, "bucket").where("base + before + size / 2 <= want")
     cuts = cut.select("s", (F.col("cc") * 256).alias("cut")).unionByName(fine.select("s", (F.col("bucket") + 1).alias("cut"))).groupBy("s").agg(F.max("cut").alias("cut"))
     out = filled.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left")
-    return out.select("source", "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut"))
+    # As a written table it needs an exchange of its own in a join, so that a hot source's rows can be split there.
+    return Staged(out.select("source", "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut")), "plan").df
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3, seed: str = SEED) -> DataFrame:
