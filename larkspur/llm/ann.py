@@ -6,8 +6,10 @@ products from the packed bits and these scalars; an error bound of ``BOUND`` dev
 an upper estimate. Vectors whose lower estimate is no more than the k-th smallest upper one are reranked by their
 exact distance, in double precision; ties go to the smaller id.
 
-Queries meet the index in blocks: each pair of blocks is one row of a keyed join and yields at most k rows a query,
-so memory depends on the blocks' sizes only. A vector that many rows share is reranked wherever it may count.
+Queries meet the index in cells of a grid, each a group of index blocks and a group of query blocks; the index moves once
+for each ``QUERY_GROUP`` blocks of queries, and the queries once for each ``INDEX_GROUP`` blocks of the index. Each pair
+of blocks in a cell yields at most k rows a query, so memory depends on the blocks' sizes only, and the driver gets two
+counts. A vector that many rows share is reranked wherever it may count.
 Recall depends on the bound only: at 4 deviations an estimate fails with a probability of about 6e-5.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, as queries or candidates, and
@@ -31,6 +33,7 @@ from ._common import Staged
 from ._vectors import rows_of, usable
 
 INDEX_BLOCK, QUERY_BLOCK = 4096, 512
+INDEX_GROUP, QUERY_GROUP = 8, 64
 BOUND = 4.0
 _SEED = 20240613
 
@@ -121,20 +124,21 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, bound: float = BOU
     """query_id, rank, vec_id, score: for each row of ``vectors`` that ``is_query`` marks, its k nearest other rows."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("q")).where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("q")).first()
-    parts = lambda n, size: max(1, -(-n // size))
+    parts = lambda n, size: max(1, -(-n // (size - size // 8)))  # noqa: E731  a little room, as partitions aren't quite even
+    n_index, n_query = parts(sizes["n"], INDEX_BLOCK), parts(sizes["q"], QUERY_BLOCK)
+    down, across = max(-(-n_index // INDEX_GROUP), min(n_index, 64)), -(-n_query // QUERY_GROUP)
     shape = "n int, dim int, ids binary, x binary"
-    index = rows.select("vec_id", "embedding").repartition(parts(sizes["n"], INDEX_BLOCK)).mapInArrow(functools.partial(_blocks, INDEX_BLOCK, True), f"{shape}, centre binary, codes binary, radius binary, overlap binary")
-    index = Staged(index.withColumn("block", F.monotonically_increasing_id()), "index").df
-    asked = rows.where("q").select("vec_id", "embedding").distinct().repartition(parts(sizes["q"], QUERY_BLOCK)).mapInArrow(functools.partial(_blocks, QUERY_BLOCK, False), shape)
-    asked = Staged(asked.withColumn("q_block", F.monotonically_increasing_id()), "queries").df
-    # The blocks' numbers: one for each 4096 rows, so these lists stay small beside the blocks themselves.
-    pairs = parts(sizes["n"], INDEX_BLOCK) * parts(sizes["q"], QUERY_BLOCK)
-    blocks, queries = [r[0] for r in index.select("block").collect()], [r[0] for r in asked.select("q_block").collect()]
-    every = lambda numbers: F.explode(F.array(*(F.lit(x).cast("long") for x in numbers)) if numbers else F.array().cast("array<long>"))
-    left = index.withColumn("qb", every(queries))
-    right = asked.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), "q_block").withColumn("ib", every(blocks))
-    met = left.join(right, (F.col("block") == F.col("ib")) & (F.col("qb") == F.col("q_block")) & (F.col("dim") == F.col("q_dim")))
-    met = met.select("dim", "ids", "x", "centre", "codes", "radius", "overlap", "q_ids", "q_x", "q_block").repartition(min(pairs, 10_000))
+    index = rows.select("vec_id", "embedding").repartition(n_index).mapInArrow(functools.partial(_blocks, INDEX_BLOCK, True), f"{shape}, centre binary, codes binary, radius binary, overlap binary")
+    index = Staged(index.withColumn("down", F.spark_partition_id() % down), "index").df
+    asked = rows.where("q").select("vec_id", "embedding").distinct().repartition(n_query).mapInArrow(functools.partial(_blocks, QUERY_BLOCK, False), shape)
+    asked = Staged(asked.withColumn("across", F.spark_partition_id() % across).withColumn("q_block", F.monotonically_increasing_id()), "queries").df
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cells = min(4 * down * across, 20_000)
+    left = index.withColumn("across", every(across)).repartition(cells, "down", "across", "dim")
+    right = asked.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), "q_block", F.col("across").alias("q_across"), every(down).alias("q_down"))
+    right = right.repartition(cells, "q_down", "q_across", "q_dim")
+    met = left.join(right, (F.col("down") == F.col("q_down")) & (F.col("across") == F.col("q_across")) & (F.col("dim") == F.col("q_dim")))
+    met = met.select("dim", "ids", "x", "centre", "codes", "radius", "overlap", "q_ids", "q_x", "q_block")
     found = met.mapInArrow(functools.partial(_search, k, bound), "query_id long, query long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
