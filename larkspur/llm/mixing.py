@@ -107,6 +107,6 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3, seed: str = SEED) -> DataFrame:
     """The rows of ``docs``, each as many times as the mix takes it, with their own columns only."""
     plan = plan_mix(docs, weights, max_epochs, seed).select(F.col("source").alias("__mix_source"), F.col("whole").alias("__mix_whole"), F.col("cut").alias("__mix_cut"))
-    times = F.col("__mix_whole") + (bucket(docs["doc_id"], seed) < F.col("__mix_cut")).cast("long")
+    times = F.least(F.col("__mix_whole") + (bucket(docs["doc_id"], seed) < F.col("__mix_cut")).cast("long"), F.lit(max_epochs))
     joined = docs.join(plan, docs["source"].eqNullSafe(F.col("__mix_source"))).withColumn("__mix_times", times).where("__mix_times > 0")
     return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_times").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
