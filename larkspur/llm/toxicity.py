@@ -70,9 +70,6 @@ class _WordHash(dict):
         self.stems: dict[int, bytes] = {}
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= _KEPT:
-            self.clear()
-            self.stems.clear()
         bare = word.strip(ASCII_EDGES)
         value = self[word] = xxhash.xxh3_64_intdigest(bare.encode()) if bare else 0
         self.stems[value] = np.array([xxhash.xxh3_64_intdigest(f"{bare[:k]}-".encode()) for k in STEMS if len(bare) > k], "<u8").tobytes()
@@ -82,15 +79,15 @@ class _WordHash(dict):
 def features(text: str | None, known: _WordHash) -> np.ndarray:
     """Hashes of words (cut at white space, bare of ASCII punctuation around), their stems, pairs and skip-pairs; with
     repeats. A stem that ``MANY`` different words of the text share gives one more."""
+    if len(known) > _KEPT:  # never amid a text: the memory holds as many words, and those of one text
+        known.clear()
+        known.stems.clear()
     words = (text or "").lower().split()
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     h = h[h != 0]
     pair = h[:-1] * _P + h[1:]
     skip = h[:-2] * _Q + h[2:] * _P
     once = dict.fromkeys(h.tolist())
-    if any(v not in known.stems for v in once):  # the memory was cleared amid this text
-        fresh = _WordHash()
-        return features(text, fresh) if known.stems else np.empty(0, np.uint32)
     stems, seen = np.unique(np.frombuffer(b"".join(map(known.stems.__getitem__, once)), "<u8"), return_counts=True)
     x = np.concatenate([h, pair, skip, stems, stems[seen >= MANY] + _Q])
     x ^= x >> np.uint64(29)
