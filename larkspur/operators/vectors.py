@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 TOLERANCE = 1e-3
 #: Rows of queries that go out at once: with vectors of 1,024 floats, 8 MB.
 QUERIES_AT_ONCE = 2048
+#: Rows of a block, and of a group of blocks that meet in one cell of the grid.
+BLOCK, ROWS_IN_CELL = 1024, 65_536
 
 
 def norm(v: Column) -> Column:
@@ -64,28 +66,51 @@ def _score(queries: list[tuple[int, list[float]]], k: int, batches: Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(rows[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], ["query_id", "row", "score"])
 
 
+def _packed(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (number, vector) as blocks: the numbers, the vectors' doubles, and their length."""
+    for batch in batches:
+        for s in range(0, batch.num_rows, size):
+            part = batch.slice(s, size)
+            numbers = part.column(0).to_numpy(zero_copy_only=False).astype("<i8")
+            flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8")
+            yield pa.RecordBatch.from_arrays([pa.array([numbers.tobytes()]), pa.array([flat.tobytes()]), pa.array([len(flat) // len(numbers)], pa.int32())], ["numbers", "flat", "dim"])
+
+
+def _score_blocks(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            rows, v, ids, q, dim = (batch.column(c)[i].as_py() for c in range(5))
+            asked = list(zip(np.frombuffer(ids, "<i8").tolist(), np.frombuffer(q, "<f8").reshape(-1, dim), strict=True))
+            vectors = pa.FixedSizeListArray.from_arrays(pa.array(np.frombuffer(v, "<f8")), dim)
+            yield from _score(asked, k, iter([pa.RecordBatch.from_arrays([pa.array(np.frombuffer(rows, "<i8")), vectors], ["row", "v"])]))
+
+
+def _blockwise(bundle: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Blocks of vectors meet blocks of queries in the cells of a grid, by a keyed join."""
+    shape = "numbers binary, flat binary, dim int"
+    n, m = bundle.count(), queries.count()
+    down, across = min(max(1, n // ROWS_IN_CELL), 4096), max(1, m // ROWS_IN_CELL)
+    left = bundle.mapInArrow(partial(_packed, BLOCK), shape).withColumn("down", F.monotonically_increasing_id() % down).withColumn("across", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    right = queries.mapInArrow(partial(_packed, BLOCK), shape).select(F.col("numbers").alias("ids"), F.col("flat").alias("q"), (F.monotonically_increasing_id() % across).alias("q_across"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("q_down"))
+    met = left.join(right, (F.col("down") == F.col("q_down")) & (F.col("across") == F.col("q_across")))
+    return met.select("numbers", "flat", "ids", "q", "dim").mapInArrow(partial(_score_blocks, k), "query_id long, row long, score double")
+
+
 def search(bundle: DataFrame, queries: DataFrame, k: int, row: str = "row", vector: str = "vector") -> DataFrame:
     """query_id, rank, row, score for each query (query_id, vector); scores in double precision, ties to the smaller row.
 
-    Queries go out in slices of ``QUERIES_AT_ONCE``. Each Arrow batch of vectors is one matrix product and keeps k rows
-    a query, so what is shuffled is k rows for each batch and query."""
-    spark, found = bundle.sparkSession, None
-    asked, slice_ = queries.orderBy("query_id").toLocalIterator(), []
-
-    def add(part: list) -> None:
-        nonlocal found
-        one = bundle.select(F.col(row).cast("long").alias("row"), F.col(vector).cast("array<float>").alias("v")).mapInArrow(partial(_score, part, k), "query_id long, row long, score double")
-        found = one if found is None else found.unionByName(one)
-
-    for r in asked:
-        slice_.append((r["query_id"], list(r[1])))
-        if len(slice_) == QUERIES_AT_ONCE:
-            add(slice_)
-            slice_ = []
-    if slice_:
-        add(slice_)
-    if found is None or k < 1:
+    Up to ``QUERIES_AT_ONCE`` queries go out to where the vectors lie: each Arrow batch of vectors is one matrix product
+    and keeps k rows a query. More of them meet the vectors in blocks, and none comes to the driver."""
+    spark = bundle.sparkSession
+    rows = bundle.select(F.col(row).cast("long").alias("row"), F.col(vector).cast("array<float>").alias("v"))
+    asked = queries.select(F.col("query_id").cast("long"), F.col(next(c for c in queries.columns if c != "query_id")).cast("array<double>").alias("v"))
+    few = asked.limit(QUERIES_AT_ONCE + 1).collect()
+    if not few or k < 1:
         return spark.createDataFrame([], "query_id long, rank int, row long, score double")
+    if len(few) > QUERIES_AT_ONCE:
+        found = _blockwise(rows, asked, k)
+    else:
+        found = rows.mapInArrow(partial(_score, [(r[0], list(r[1])) for r in few], k), "query_id long, row long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "row"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "row", "score")
 

@@ -179,3 +179,18 @@ def test_probe(spark, stage):
     assert hits.count() == 10 and rate == 1.0
     evaluate.write_ground_truth(loaded, hits, [("record 3", "gaming"), ("record", None)], 5, str(stage[0] / "truth.json"))
     assert len(json.loads((stage[0] / "truth.json").read_text())["queries"][0]["top_k"]) == 5
+
+
+@pytest.mark.parametrize("at_once", [2048, 5])
+def test_search_by_broadcast_and_by_blocks(spark, monkeypatch, at_once):
+    monkeypatch.setattr(vectors, "QUERIES_AT_ONCE", at_once)
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    monkeypatch.setattr(vectors, "ROWS_IN_CELL", 12)
+    x = np.random.default_rng(2).normal(size=(90, 6)).astype("f4")
+    x[40] = x[3]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row long, vector array<float>").repartition(4)
+    asked = rows.where("row < 30").withColumnRenamed("row", "query_id")
+    got = sorted(map(tuple, vectors.search(rows, asked, 4).select("query_id", "rank", "row").collect()))
+    scores = x[:30].astype(float) @ x.astype(float).T
+    assert got == [(q, n + 1, r) for q in range(30) for n, r in enumerate(sorted(range(90), key=lambda i: (-scores[q, i], i))[:4])]
+    assert vectors.search(rows, asked.limit(0), 4).collect() == [] and vectors.search(rows, asked, 0).collect() == []
