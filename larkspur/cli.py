@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import time
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -52,9 +53,9 @@ def main(argv: list[str] | None = None) -> int:
             if not all(r["agree"] for r in diff):
                 raise validate.GateError(told)
         elif a.stage == "embed":
-            told = json.dumps(embed.embed(spark, a.input, a.out_dir, embed.load_embedder(a.model), batch_size=a.batch_size, allow_truncation=a.allow_truncation, limit=a.limit), indent=2)
+            told = embed.summary(embed.embed(spark, a.input, a.out_dir, embed.load_embedder(a.model), batch_size=a.batch_size, allow_truncation=a.allow_truncation, limit=a.limit))
         elif a.stage == "publish":
-            told = json.dumps(bundle.publish(spark, a.clean, a.embedded, a.out_root), indent=2)
+            told = bundle.summary(bundle.publish(spark, a.clean, a.embedded, a.out_root))
         elif a.stage == "probe":
             loaded = bundle.load(spark, a.published)
             asked = [(q, None) for q in a.query] if a.query else evaluate.PROBES
@@ -63,8 +64,9 @@ def main(argv: list[str] | None = None) -> int:
                 evaluate.write_ground_truth(loaded, hits, asked, a.k, a.dump_ground_truth)
             told = "\n".join(f"{r['query_id']} {r['rank']:>2} {r['score']:.4f} {r['ad_id']} {r['category']}" for r in hits.orderBy("query_id", "rank").collect()) + f"\nprecision at {a.k}: {rate}"
         else:
+            began = time.monotonic()
             loaded = bundle.load(spark, a.root)
-            told = bundle.report(loaded)
+            told = f"{bundle.report(loaded)}\nsizes, checksums, norms, rows and ids agree; loaded in {time.monotonic() - began:.1f} s"
             nearest = loaded.top_k(loaded.vector(0), 1).select(F.round("score", 4)).first()[0]
             told += f"\nfirst vector finds itself with score {nearest}"
     except FileNotFoundError as error:
@@ -72,7 +74,7 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     except (validate.GateError, embed.TruncationError, bundle.BundleError) as error:
         print(error, file=sys.stderr)
-        return 1
+        return 2 if isinstance(error.__cause__, FileNotFoundError) else 1
     if not getattr(a, "quiet", False):
         print(told)
     return 0

@@ -153,7 +153,8 @@ def _write(path: Path, parts) -> None:
 class Bundle:
     """A verified version. ``rows`` has row, the clean columns and vector."""
 
-    def __init__(self, manifest: dict, rows: DataFrame):
+    def __init__(self, manifest: dict, rows: DataFrame, version: str = ""):
+        self.version = version
         self.manifest, self.rows, self.count, self.dim = manifest, rows, manifest["ads"]["count"], manifest["vectors"]["dim"]
 
     def __len__(self) -> int:
@@ -185,12 +186,14 @@ def load_version(spark: SparkSession, folder: str | Path) -> Bundle:
         raise ManifestError(f"no readable manifest in {folder}") from error
     spec, ads = check_manifest(manifest)["vectors"], manifest["ads"]
     at, told = folder / spec["file"], folder / ads["file"]
-    _demand(at.is_file() and at.stat().st_size == spec["bytes"], VectorsError, f"{at.name} isn't {spec['bytes']} bytes long")
+    for path, error in ((at, VectorsError), (told, AdsError)):
+        if not path.is_file():
+            raise error(f"{path.name} is missing") from FileNotFoundError(str(path))
+    _demand(at.stat().st_size == spec["bytes"], VectorsError, f"{at.name} isn't {spec['bytes']} bytes long")
     vectors = read_vectors(spark, str(at), spec["dim"])
     state = integrity(vectors, spec["dim"]).first()
     _demand(state["nonfinite"] == 0 and state["off_unit"] == 0, VectorsError, f"row {state['first_bad_row']} isn't a finite unit vector (tolerance {TOLERANCE})")
     _demand(file_sha256(at) == spec["sha256"], ChecksumError, at.name)
-    _demand(told.is_file(), AdsError, f"{told.name} is missing")
     lines = numbered_lines(spark, str(told))
     rows = fixed(lines.select((F.col("line_no") - 1).alias("at"), F.length("line").alias("size"), F.from_json("line", f"row long, {CLEAN}, broken string", {"columnNameOfCorruptRecord": "broken"}).alias("r")))
     r = F.col("r")
@@ -201,9 +204,19 @@ def load_version(spark: SparkSession, folder: str | Path) -> Bundle:
     n = rows.count()
     _demand(n == ads["count"], AdsError, f"{n} records, {ads['count']} in the manifest")
     _demand(file_sha256(told) == ads["sha256"], ChecksumError, told.name)
-    return Bundle(manifest, fixed(rows.select("r.*").drop("broken").join(vectors, "row")))
+    return Bundle(manifest, fixed(rows.select("r.*").drop("broken").join(vectors, "row")), folder.name)
 
 
 def report(bundle: Bundle) -> str:
     m = bundle.manifest
-    return f"{m['ads']['count']:,} records, {bundle.dim} dimensions, {m['vectors']['bytes']:,} bytes, model {m['model']['name']}"
+    return f"version {bundle.version}: {m['ads']['count']:,} records, {bundle.dim} dimensions, {m['vectors']['bytes']:,} bytes, model {m['model']['name']}"
+
+
+def summary(manifest: dict) -> str:
+    """A published version in a few lines."""
+    v, a = manifest["vectors"], manifest["ads"]
+    return "\n".join([
+        f"version {manifest['version']}: {a['count']:,} records, {v['dim']} dimensions, model {manifest['model']['name']}",
+        f"{v['file']}: {v['bytes']:,} bytes, sha256 {v['sha256'][:16]}",
+        f"{a['file']}: sha256 {a['sha256'][:16]}",
+    ])

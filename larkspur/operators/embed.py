@@ -158,3 +158,13 @@ def embed(spark: SparkSession, clean_path: str, out_dir: str, embedder: Embedder
     )
     write_json(out / "embed_manifest.json", manifest)
     return manifest
+
+
+def summary(manifest: dict) -> str:
+    """The stage's outcome in a few lines."""
+    m, t = manifest, manifest["tokens"]
+    return "\n".join([
+        f"{m['count']:,} records, {m['dim']} dimensions, model {m['model']} {m['revision']} on {m['device']}",
+        f"tokens: p50 {t['p50']:,}  p99 {t['p99']:,}  max {t['max']:,}  limit {m['max_tokens']:,}  truncated {t['truncated']:,}",
+        f"{m['duration_seconds']:,.2f} s" + (f", {m['ads_per_second']:,.0f} records a second" if m["ads_per_second"] else ""),
+    ])
