@@ -6,10 +6,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import minhash, mixing, quality, toxicity
-from larkspur.llm._common import Staged, table
+from larkspur.llm._common import Staged, table, tidy
 from larkspur.llm.queries.op4 import digests, vocabulary
 
 
@@ -50,8 +52,17 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@tidy
+def _written(name: str, stage: Callable, spark: SparkSession, docs: DataFrame, sf_dir: str) -> Staged:
+    return Staged(stage(spark, docs, sf_dir), name)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = Staged(stage(spark, docs, sf_dir), name).df
-    return Staged(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0]).df
+    """The last stage's rows. Each stage's table goes when the next one is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        now = _written(name, stage, spark, docs, sf_dir)
+        if last:
+            last.drop()
+        docs, last = now.df, now
+    return docs

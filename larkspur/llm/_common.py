@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 #: Runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _own_dir: dict[str, str] = {}
-_written: list[str] = []
+_written: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +36,7 @@ class Staged:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/larkspur-{label}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
-        _written.append(self.path)
+        _written[self.path] = self.spark
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -52,8 +54,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    if path in _written:
-        _written.remove(path)
+    _written.pop(path, None)
+
+
+def tidy(f: Callable) -> Callable:
+    """The scratch tables that a function writes go when it returns, but for those that it returns as ``Staged``."""
+
+    @functools.wraps(f)
+    def run(*args, **named):
+        before = set(_written)
+        out = f(*args, **named)
+        kept = {x.path for x in (out if isinstance(out, tuple) else (out,)) if isinstance(x, Staged)}
+        for path, spark in list(_written.items()):
+            if path not in before | kept:
+                _delete(spark, path)
+        return out
+
+    return run
 
 
 def clean_up(spark: SparkSession) -> int:

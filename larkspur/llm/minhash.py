@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._batches import matrix, sorted_groups
-from ._common import Staged
+from ._common import Staged, tidy
 from ._graph import connected_components, opaque
 
 BANDS, ROWS, BATCH = 25, 5, 25
@@ -199,12 +199,13 @@ def _confirm(width: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Ite
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
-    """doc_id, text_key (a 64-bit hash of the text), n_shingles, component_id, kept for each row of ``docs``."""
+@tidy
+def _grouped(docs: DataFrame, width: int, percent: int, miss: float) -> tuple[Staged, Staged]:
+    """doc_id, text_key, n_shingles, node, sig for each row; s (a node), component_id for each set."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     sketch_type = "doc_id long, text_key long, n_shingles long, node binary, sig binary"
-    sketched = Staged(keyed.mapInArrow(functools.partial(_sketch, width), sketch_type), "sketch").df
-    nodes = Staged(sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_key")).alias("ref"), F.min("sig").alias("sig")), "nodes").df
+    sketch = Staged(keyed.mapInArrow(functools.partial(_sketch, width), sketch_type), "sketch")
+    nodes = Staged(sketch.df.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_key")).alias("ref"), F.min("sig").alias("sig")), "nodes").df
     sigs = nodes.select("node", "sig")
     least = least_matches(percent / 100, miss)
 
@@ -239,7 +240,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     named = nodes.select("node", "least_id").join(stars.withColumnRenamed("node", "s"), F.col("node") == F.col("s"), "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
     named = Staged(named, "named").df
     first = named.groupBy("component").agg(F.min("least_id").alias("component_id")).select(opaque("component").alias("c"), "component_id")
-    result = Staged(named.join(first, F.col("component") == F.col("c")).select(F.col("node").alias("s"), "component_id"), "components").df
+    return sketch, Staged(named.join(first, F.col("component") == F.col("c")).select(F.col("node").alias("s"), "component_id"), "components")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
+    """doc_id, text_key (a 64-bit hash of the text), n_shingles, component_id, kept for each row of ``docs``."""
+    sketched, result = (x.df for x in _grouped(docs, width, percent, miss))
     some = sketched.where("node is not null").join(result, F.col("node") == F.col("s")).select("doc_id", "text_key", "n_shingles", "component_id")
     none = sketched.where("node is null").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
     return some.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
@@ -289,9 +295,14 @@ def _undecided(members: DataFrame, sigs: DataFrame, texts: DataFrame, least: tup
     return rows.mapInArrow(functools.partial(_judge_blocks, least, width, percent), "a binary, b binary")
 
 
+@tidy
+def _kept(docs: DataFrame, width: int, percent: int) -> Staged:
+    kept = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("__near_id"), F.col("text_key").alias("__near_key"))
+    return Staged(kept.groupBy("__near_id", "__near_key").agg(F.count(F.lit(1)).alias("__near_n")), "kept")
+
+
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that are kept: one of each group, with their own columns only."""
-    kept = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("__near_id"), F.col("text_key").alias("__near_key"))
-    kept = Staged(kept.groupBy("__near_id", "__near_key").agg(F.count(F.lit(1)).alias("__near_n")), "kept").df
+    kept = _kept(docs, width, percent).df
     out = docs.join(kept.drop("__near_n"), docs["doc_id"].eqNullSafe(F.col("__near_id")) & (F.xxhash64(docs["text"]) == F.col("__near_key")), "left_semi")
     return out if kept.where("__near_n > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])

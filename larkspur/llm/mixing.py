@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import Staged, word_count
+from ._common import Staged, tidy, word_count
 
 BUCKETS = 65_536
 SEED = "mix-1"
@@ -72,6 +72,11 @@ def water_fill(sources: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epoch
 def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3, seed: str = SEED, sized: DataFrame | None = None) -> DataFrame:
     """A row for each source: source, source_size, target, whole, cut. A document is taken ``whole`` times, and once
     more if its bucket is below ``cut``. sized: (source, bucket, size), if the caller has it."""
+    return _plan(docs, weights, max_epochs, seed, sized).df
+
+
+@tidy
+def _plan(docs: DataFrame, weights: Sequence[int], max_epochs: int, seed: str, sized: DataFrame | None) -> Staged:
     if sized is None:
         sized = docs.select("source", bucket(F.col("doc_id"), seed).alias("bucket"), word_count(F.col("text")).alias("size"))
     hist = Staged(sized.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "mix").df
@@ -93,7 +98,7 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: in
     cuts = cut.select("s", (F.col("cc") * 256).alias("cut")).unionByName(fine.select("s", (F.col("bucket") + 1).alias("cut"))).groupBy("s").agg(F.max("cut").alias("cut"))
     out = filled.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left")
     # As a written table it needs an exchange of its own in a join, so that a hot source's rows can be split there.
-    return Staged(out.select("source", "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut")), "plan").df
+    return Staged(out.select("source", "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut")), "plan")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3, seed: str = SEED) -> DataFrame:

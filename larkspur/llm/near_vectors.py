@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._batches import sorted_groups
-from ._common import Staged
+from ._common import Staged, tidy
 from ._graph import connected_components, opaque
 from ._vectors import rows_of, usable
 
@@ -122,11 +122,9 @@ def _count(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(nodes[where], pa.int64()), pa.array(links.astype(np.int64))], ["node", "links"])
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.98, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row; vectors: vec_id, embedding, label."""
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
-    fit = F.col("label").isNotNull() & usable(F.col("embedding"))
-    good = rows.where(fit)
+@tidy
+def _linked(good: DataFrame, threshold: float, passes: int, window: int) -> Staged:
+    """l, e (a label and a vector), n_links, component_id for each different vector of a label."""
     classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     classes = Staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes").df
 
@@ -147,7 +145,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, passes: int = PASS
     least = members.groupBy("component").agg(F.min("least_id").alias("component_id")).select(opaque("component").alias("c"), "component_id")
     known = members.select("node", "component").join(least, F.col("component") == F.col("c")).select(F.col("node").alias("s"), "component_id")
     result = classes.join(known, F.col("node") == F.col("s"), "left").join(counts, F.col("node") == F.col("n"), "left")
-    result = Staged(result.select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id")), "vectors").df
+    return Staged(result.select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id")), "vectors")
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.98, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row; vectors: vec_id, embedding, label."""
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    fit = F.col("label").isNotNull() & usable(F.col("embedding"))
+    good = rows.where(fit)
+    result = _linked(good, threshold, passes, window).df
     done = good.join(result, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e"))).select("vec_id", "n_links", "component_id")
     alone = rows.where(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Staged, held_out
+from ._common import Staged, held_out, tidy
 from ._labels import labelled_sample
 
 SAMPLE_ROWS = 20_000
@@ -117,6 +117,7 @@ def _total(rows: DataFrame, of) -> np.ndarray | None:
     return sum(got[1:], got[0].copy()) / _FIXED if got else None
 
 
+@tidy
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, features: int = FEATURES, ridge: float = RIDGE, seed: int = 7) -> Model:
     """A model from at most ``rows`` labelled documents. The driver gets ``PARTS`` sums of fixed size, and the
     calibration fold's outputs and labels (a quarter of the rows)."""
