@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from larkspur.llm import _graph as graph
 from larkspur.llm import minhash as mh
 from larkspur.llm._graph import connected_components
 from larkspur.llm.queries import op6
@@ -71,6 +72,7 @@ def test_families(spark, mixed, width):
 
 
 def test_small_blocks_lose_nothing(spark, mixed, monkeypatch):
+    monkeypatch.setattr(graph, "FEW", 0)
     monkeypatch.setattr(mh, "BLOCK", 4)
     monkeypatch.setattr(mh, "HUB_BANDS", 1)
     df = spark.createDataFrame(mixed, "doc_id long, text string").repartition(3)
@@ -116,7 +118,9 @@ def test_pairs_at_the_threshold_survive_the_batches():
     assert len(mh.survivors(a, b, least)) < 200  # and far ones go
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("few", [0, 40, 20_000])
+def test_components_of_random_graphs(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
     rng = random.Random(7)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(200)]
     home = {}
