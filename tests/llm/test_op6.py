@@ -86,7 +86,7 @@ def test_one_document_of_each_group_stays(spark, mixed):
     assert rows_of(kept, ["doc_id", "text"]) == sorted(((r[0], dict(mixed)[r[0]]) for r in brute(mixed, 5) if r[3]), key=repr)
 
 
-@pytest.mark.parametrize("clash", [False, True])
+@pytest.mark.parametrize("clash", [True])  # the plain table is that of the other tests
 def test_odd_rows(spark, tmp_path, clash):
     long = " ".join(f"z{i % 7001}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, " \t\r\n\x0b\x0c "), (4, "one"), (5, "One"), (6, "one two three"), (7, "one two three four"), (8, "ONE  two\nthree\tfour"), (8, "ONE  two\nthree\tfour"), (None, "one two three four"), (None, "lonely text without an id"), (9, long), (10, long + " tail"), (11, "ÄRGER über den Bach"), (12, "ärger über den Bach"), (13, "a b c d e"), (14, "a b c d e"), (15, "x\x00y z w v"), (16, "lonely Text without an id")]

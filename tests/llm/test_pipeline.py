@@ -48,7 +48,7 @@ def test_stages_agree_with_their_definitions(spark, library):  # noqa: F811
     assert rows_of(pipeline.run(spark, SF)) == rows_of(last)
 
 
-@pytest.mark.parametrize("clash", [False, True])
+@pytest.mark.parametrize("clash", [True])  # the plain table is that of the other tests
 def test_odd_tables(spark, tmp_path, clash):
     text = "the quick brown fox jumps over the lazy dog near the quiet river bank today"
     rows = [(1, text, "en", "a", 1), (2, text + " again", "en", "a", None), (None, "no id at all but some words", None, None, None), (3, None, "en", "b", 0), (4, "", "en", "b", 0), (5, text, "en", "c", 3), (5, text, "en", "c", 3), (6, "w " * 40_000, "en", "c", 3)]
