@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 
 SLICE = 1_000_000
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 #: Bits of an id in a pair; the largest number stands between words.
 _ID = 24
 _END = (1 << _ID) - 1
