@@ -33,7 +33,7 @@ EPOCHS = 5
 STEMS, MANY = (4, 5, 6, 7), 3
 ASCII_EDGES = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
 MIN = 4
-_KEPT = 300_000
+_KEPT = 100_000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
