@@ -1,13 +1,10 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by comparing all pairs of a label, in blocks.
 
-Equal vectors of a label are one node. In each of ``PASSES`` passes nodes are ordered, within label and dimension, by 64
-random sign bits; each is compared, in double precision, with the ``WINDOW`` before it. Links found in any pass make
-components (of one partition and pass only a forest is kept). For a pair at the threshold a sign bit agrees with
-probability 0.936, so a pass brings it into a window of 32 among n vectors with a probability of about 0.936 to the
-power of log2(n/32); partition ends cut some windows in two, which other passes make up for.
-
-Links are counted within components, all members against all, in blocks of ``BLOCK`` rows: no cap, and no pair leaves
-its task. So within the components found, ``n_links`` is exact.
+Equal vectors of a label are one node. The nodes of a label and dimension are dealt into blocks of about ``BLOCK`` by a
+hash; each two blocks meet in one group, where all pairs are compared in double precision. So every link is found,
+however many vectors a label has and however close they lie. A group gives each node's number of links, and of the links
+themselves only a forest, from which the components are made. No pair leaves its task. The work grows with the square
+of a label's different vectors, and each of them is shuffled once for each block of its label.
 
 Cases: a vector that is null, zero, or holds null or non-finite components, or has a null label, links with nothing:
 no links, its own component, kept. Vectors of different lengths never link. Rows with the same id count as rows.
@@ -29,30 +26,7 @@ from ._common import Staged, tidy
 from ._graph import connected_components, opaque
 from ._vectors import rows_of, usable
 
-PASSES, WINDOW, BLOCK = 12, 32, 512
-_SEED = 20240611
-
-
-@functools.cache
-def _planes(dim: int, passes: int) -> np.ndarray:
-    return np.random.default_rng([_SEED, dim]).normal(size=(dim, passes * 64))
-
-
-def _keys(passes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, label, embedding to a row for each pass: pass, label, dim, key (64 sign bits in order), node, vector."""
-    for batch in batches:
-        vectors = rows_of(batch.column(2))
-        dims = np.array([len(v) for v in vectors], np.int32)
-        for dim in np.unique(dims):
-            at = np.flatnonzero(dims == dim)
-            x = np.stack([vectors[i] for i in at]).astype("<f8")
-            bits = np.packbits(x @ _planes(int(dim), passes) > 0, axis=1)
-            body = pa.array([r.tobytes() for r in x.astype("<f4")], pa.binary())
-            part = batch.take(pa.array(at))
-            for p in range(passes):
-                key = pa.array([r.tobytes() for r in bits[:, p * 8 : p * 8 + 8]], pa.binary())
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p, np.int32)), part.column(1), pa.array(np.full(n, dim, np.int32)), key, part.column(0), body], ["pass", "label", "dim", "key", "node", "v"])
+BLOCK = 2048
 
 
 def _unit(bodies: list[bytes], dim: int) -> np.ndarray:
@@ -60,58 +34,32 @@ def _unit(bodies: list[bytes], dim: int) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1))[:, None]
 
 
-def _windows(threshold: float, window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between each row and those before it in the same group, as a forest for each group and partition."""
-    group, nodes, units = None, np.empty(0, np.int64), None
-    root: dict[int, int] = {}
-
-    def find(a: int) -> int:
-        while (up := root.get(a, a)) != a:
-            root[a] = a = root.get(up, up)
-        return a
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        ids = batch.column(4).to_numpy(zero_copy_only=False)
-        change = np.zeros(batch.num_rows, bool)
-        for c in cols:
-            change[1:] |= c[1:] != c[:-1]
-        starts = [0, *np.flatnonzero(change).tolist()]
-        a, b = [], []
-        for s, e in zip(starts, [*starts[1:], batch.num_rows], strict=True):
-            now = tuple(c[s] for c in cols)
-            mine = _unit(batch.column(5).slice(s, e - s).to_pylist(), int(now[2]))
-            if now != group:
-                group, nodes, units, root = now, ids[s:e], mine, {}
-                old = 0
-            else:
-                old = len(nodes)
-                nodes, units = np.concatenate([nodes, ids[s:e]]), np.vstack([units, mine])
-            for d in range(1, min(window, len(nodes) - 1) + 1):
-                first = max(d, old)
-                close = np.einsum("ij,ij->i", units[first:], units[first - d : len(units) - d]) >= threshold
-                for i in np.flatnonzero(close) + first:
-                    x, y = find(int(nodes[i])), find(int(nodes[i - d]))
-                    if x != y:
-                        root[max(x, y)] = min(x, y)
-                        a.append(int(nodes[i]))
-                        b.append(int(nodes[i - d]))
-            nodes, units = nodes[-window:], units[-window:]
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each component of the linked rows and columns as a star around one of its rows: that row and another, and that
+    row and a column."""
+    rows, columns = near.any(axis=1), near.any(axis=0)
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    while rows.any():
+        root = int(rows.argmax())
+        rows[root] = False
+        front = np.array([root])
+        while len(front):
+            met = np.flatnonzero(near[front].any(axis=0) & columns)
+            columns[met] = False
+            front = np.flatnonzero(near[:, met].any(axis=1) & rows)
+            rows[front] = False
+            for i, x in enumerate((np.full(len(front), root), front, np.full(len(met), root), met)):
+                out[i].append(x)
+    return tuple(np.concatenate([np.empty(0, np.int64), *x]) for x in out)
 
 
 def _count(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (component, i, j): each row's linked vectors in the other block, by the copies that a node stands for."""
-    for group in sorted_groups(batches, ["component", "i", "j"]):
+    """For each group of (label, dim, i, j), rows of two kinds: a node and the vectors in the other block that it links
+    with, by the copies that a node stands for; and the links of a forest."""
+    for group in sorted_groups(batches, ["label", "dim", "i", "j"]):
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         block, copies, nodes = (group.column(c).to_numpy() for c in ("block", "copies", "node"))
-        bodies = group.column("v").to_pylist()
-        if len({len(x) for x in bodies}) > 1:
-            raise ValueError("a component holds vectors of different lengths")
-        unit = _unit(bodies, len(bodies[0]) // 4)
+        unit = _unit(group.column("v").to_pylist(), group.column("dim")[0].as_py())
         a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
         near = unit[a] @ unit[b].T >= threshold
         if i == j:
@@ -119,41 +67,51 @@ def _count(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             links, where = near @ copies[b], a
         else:
             links, where = np.concatenate([near @ copies[b], near.T @ copies[a]]), np.concatenate([a, b])
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[where], pa.int64()), pa.array(links.astype(np.int64))], ["node", "links"])
+        some = links > 0
+        if some.any():
+            r, r2, c, c2 = _forest(near)
+            x, y = nodes[a[np.concatenate([r, c])]], nodes[np.concatenate([a[r2], b[c2]])]
+            n, m = int(some.sum()), len(x)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([nodes[where][some], x]), pa.int64()),
+                    pa.array(np.concatenate([np.zeros(n, np.int64), y]), pa.int64(), mask=np.arange(n + m) < n),
+                    pa.array(np.concatenate([links[some].astype(np.int64), np.zeros(m, np.int64)]), pa.int64()),
+                ],
+                ["a", "b", "links"],
+            )
 
 
 @tidy
-def _linked(good: DataFrame, threshold: float, passes: int, window: int) -> Staged:
+def _linked(good: DataFrame, threshold: float) -> Staged:
     """l, e (a label and a vector), n_links, component_id for each different vector of a label."""
     classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
-    classes = Staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes").df
+    classes = Staged(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("embedding")), "classes").df
 
-    order = ["pass", "label", "dim", "key", "node"]
-    keyed = classes.select("node", "label", "embedding").mapInArrow(functools.partial(_keys, passes), "pass int, label long, dim int, key binary, node long, v binary")
-    sorted_rows = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-    links = sorted_rows.mapInArrow(functools.partial(_windows, threshold, window), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    stars = Staged(connected_components(links), "stars").df
+    sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).select(opaque("label").alias("l"), F.col("dim").alias("d"), "blocks")
+    dealt = classes.join(sizes, (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d"))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("label", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "copies", "node", "embedding")
+    met = met.repartition("label", "dim", "i", "j").sortWithinPartitions("label", "dim", "i", "j")
+    found = met.mapInArrow(_bodies, "label long, dim int, i int, j int, block int, copies long, node long, v binary").mapInArrow(functools.partial(_count, threshold), "a long, b long, links long")
+    found = Staged(found, "links").df
 
-    sizes = stars.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).select(opaque("component").alias("c"), "blocks")
-    members = stars.join(sizes, F.col("component") == F.col("c")).select(F.col("node").alias("s"), "component", "blocks")
-    members = classes.join(members, F.col("node") == F.col("s")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "copies", "node", "embedding")
-    met = met.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    counts = met.mapInArrow(_bodies, "component long, i int, j int, block int, copies long, node long, v binary").mapInArrow(functools.partial(_count, threshold), "node long, links long")
-    counts = counts.groupBy("node").agg(F.sum("links").alias("links")).select(F.col("node").alias("n"), "links")
+    links = found.where("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    stars = Staged(connected_components(links), "stars").df
+    counts = found.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links")).select(F.col("a").alias("n"), "links")
+    members = classes.select("node", "least_id").join(stars.select(F.col("node").alias("s"), "component"), F.col("node") == F.col("s")).select("node", "least_id", "component")
     least = members.groupBy("component").agg(F.min("least_id").alias("component_id")).select(opaque("component").alias("c"), "component_id")
     known = members.select("node", "component").join(least, F.col("component") == F.col("c")).select(F.col("node").alias("s"), "component_id")
     result = classes.join(known, F.col("node") == F.col("s"), "left").join(counts, F.col("node") == F.col("n"), "left")
     return Staged(result.select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id")), "vectors")
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.98, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row; vectors: vec_id, embedding, label."""
     rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
     fit = F.col("label").isNotNull() & usable(F.col("embedding"))
     good = rows.where(fit)
-    result = _linked(good, threshold, passes, window).df
+    result = _linked(good, threshold).df
     done = good.join(result, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e"))).select("vec_id", "n_links", "component_id")
     alone = rows.where(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
@@ -161,5 +119,5 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, passes: int = PASS
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        body = pa.array([np.asarray(v, "<f4").tobytes() for v in rows_of(batch.column(6))], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:6], body], [*batch.schema.names[:6], "v"])
+        body = pa.array([np.asarray(v, "<f4").tobytes() for v in rows_of(batch.column(7))], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:7], body], [*batch.schema.names[:7], "v"])

@@ -53,6 +53,27 @@ def test_chains_and_a_hot_group(spark, monkeypatch):
     assert rows_of(nv.near_vectors(df), COLS) == brute(rows)
 
 
+def test_every_link_of_a_dense_label_is_found(spark):
+    """A narrow cone of different vectors, where hundreds that don't link lie between the two of a pair."""
+    rng = np.random.default_rng(7)
+    axis, *_ = np.linalg.qr(rng.normal(size=(64, 1)))[0].T
+    x = rng.normal(size=(5000, 64))
+    x = np.sqrt(0.9) * axis + np.sqrt(0.1) * (x - (x @ axis)[:, None] * axis) / 8
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = rng.normal(size=(100, 64))
+    near -= (near * x[:100]).sum(axis=1)[:, None] * x[:100]
+    near /= np.linalg.norm(near, axis=1)[:, None]
+    x = np.vstack([x, 0.982 * x[:100] + np.sqrt(1 - 0.982**2) * near]).astype("f4")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    links = unit @ unit.T >= 0.98
+    np.fill_diagonal(links, False)
+    assert links.sum() == 200 and links.any(axis=1).sum() == 200
+    order = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), x[i].tolist(), 1) for i in order], "vec_id long, embedding array<float>, label int").repartition(5)
+    want = [(i, int(links[i].sum()), min([i, *np.flatnonzero(links[i]).tolist()]), not links[i, :i].any()) for i in range(len(x))]
+    assert rows_of(nv.near_vectors(df), COLS) == sorted(want, key=repr)
+
+
 def test_empty(spark, tmp_path):
     assert op5.run(spark, write(tmp_path, embeddings=(EMBEDDINGS, []))).collect() == []
     assert rows_of(op5.run(spark, write(tmp_path, embeddings=(EMBEDDINGS, [(1, [0.0], 1)]))), COLS) == [(1, 0, 1, True)]
