@@ -1,7 +1,8 @@
 """Signature rules for license texts, notices and names, in order.
 
 A line is: label, priority (1 notice or text, 2 name with version, 3 name, 4 hint), keyword, regex. Regexes run over
-lower-case words with one space between, and match whole words. A rule is tried only where its keyword occurs.
+lower-case words with one space between, and match whole words. A rule is tried only where its keyword occurs,
+so each text that its regex matches must hold the keyword.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ gpl|1|general public license|(this program|this library|this file|it) is free so
 gpl|1|general public license|you should have received a copy of the gnu general public license( along with this (program|library|file))?
 gpl-3.0|2|general public license|gnu general public license v(ersion )?3( 0)?( or later| only)?
 gpl-2.0|2|general public license|gnu general public license v(ersion )?2( 0)?( or later| only)?
-gpl|3|general public license|gnu general public licen[sc]e
+gpl|3|general public licen|gnu general public licen[sc]e
 gpl|3|general public licence|gnu general public licence
 gpl-3.0|2|gpl|gpl ?v?3( 0)?( or later| only| plus)?
 gpl-2.0|2|gpl|gpl ?v?2( 0)?( or later| only| plus)?
@@ -80,7 +81,7 @@ mit|4|mit x11|mit x11( licen[sc]e)?
 expat|3|expat licen|expat licen[sc]e
 x11|3|x11 licen|x11 licen[sc]e
 x11|1|x consortium|except as contained in this notice the name of the x consortium shall not be used in advertising
-isc|1|isc|permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+isc|1|permission to use copy|permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 isc|1|with or without fee|permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted
 isc|3|isc licen|isc licen[sc]e
 bsd-4-clause|1|advertising materials|all advertising materials mentioning features or use of this software must display the following acknowledg(e)?ment
@@ -162,7 +163,7 @@ cecill|3|cecill|cecill( licen[sc]e)?
 artistic-2.0|2|artistic licen|artistic license (v|version )?2( 0)?
 artistic-1.0|2|artistic licen|artistic license (v|version )?1( 0)?
 artistic|3|artistic licen|(the )?artistic licen[sc]e
-perl|1|perl itself|same terms as perl( 5)?( programming language system)? itself
+perl|1|same terms as perl|same terms as perl( 5)?( programming language system)? itself
 perl|1|perl itself|under the same terms as perl itself
 python-2.0|2|python software foundation|python software foundation license (v|version )?2
 psf|3|python software foundation|python software foundation licen[sc]e
@@ -266,7 +267,7 @@ polyform-small|2|polyform|polyform small business licen[sc]e( 1 0 0)?
 polyform|3|polyform|polyform( [a-z]+)? licen[sc]e
 rail-openrail-m|2|openrail|(creativeml |bigscience )?openrail (m|\+\+ m)( licen[sc]e)?
 rail|3|rail licen|(responsible ai |bigscience )?rail licen[sc]e( (v|version )?1 0)?
-llama-community|3|community license|llama ?[234]?( [123])? community licen[sc]e( agreement)?
+llama-community|3|community licen|llama ?[234]?( [123])? community licen[sc]e( agreement)?
 hippocratic|3|hippocratic|hippocratic licen[sc]e( (v|version )?[123]( [01])?)?
 mulan-2.0|2|mulan|mulan permissive software license (v|version )?2
 mulan|3|mulan|mulan (permissive software|psl)( licen[sc]e)?
@@ -290,7 +291,7 @@ realnetworks|3|realnetworks|realnetworks public source licen[sc]e
 sybase|3|sybase open|sybase open watcom public licen[sc]e
 vovida|3|vovida|vovida software licen[sc]e
 watcom|3|watcom|open watcom public licen[sc]e
-xnet|3|xnet|x net licen[sc]e
+xnet|3|x net licen|x net licen[sc]e
 spdx|1|spdx|spdx license identifier [a-z0-9]+( [0-9]+)*( (only|or later|clause))?
 spdx-mit|1|spdx|spdx license identifier mit
 spdx-apache-2.0|1|spdx|spdx license identifier apache 2 0
@@ -304,10 +305,10 @@ proprietary|1|unauthorized|unauthorized (copying|use|reproduction|distribution)(
 proprietary|4|all rights reserved|all rights reserved
 copyright-notice|4|copyright|copyright (c )?[0-9]{4}( [0-9]{4})?
 commercial|3|commercial license|commercial license (agreement|available)
-eula|3|end user license|end user licen[sc]e agreement
+eula|3|end user licen|end user licen[sc]e agreement
 freeware|4|freeware|(this (program|software) is )?freeware
 shareware|4|shareware|(this (program|software) is )?shareware
-dual-license|2|dual license|dual licen[sc]ed( under (the )?)?
+dual-license|2|dual licen|dual licen[sc]ed( under (the )?)?
 permissive-notice|2|see the license|see the license for the specific language governing permissions and limitations
 warranty-disclaimer|4|without warrant|without warrant(y|ies)( or conditions)? of any kind
 warranty-disclaimer|4|merchantability|implied warrant(y|ies) of merchantability( or| and) fitness for a particular purpose

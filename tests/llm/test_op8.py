@@ -1,4 +1,5 @@
 import re
+from re import _parser
 
 import pytest
 
@@ -86,6 +87,41 @@ def test_every_rule_finds_something():
         re.compile(rule)
 
 
+def expanded(items):
+    """Each text that a parsed regex matches, optional parts both there and not, and only the ends of a range."""
+    out = [""]
+    for op, value in items:
+        match str(op):
+            case "LITERAL":
+                more = [chr(value)]
+            case "IN":
+                more = [chr(c) for kind, v in value for c in ([v] if str(kind) == "LITERAL" else v)]
+            case "ANY":
+                more = ["?"]
+            case "SUBPATTERN":
+                more = expanded(value[-1])
+            case "BRANCH":
+                more = [t for branch in value[1] for t in expanded(branch)]
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                more = [t * max(value[0], 1) for t in expanded(value[2])] + [""] * (value[0] == 0)
+            case _:
+                raise ValueError(op)
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_every_text_of_a_rule_holds_its_keyword():
+    lost = [(keyword, text) for _, _, keyword, rule in RULES for text in expanded(_parser.parse(rule)) if keyword not in f" {text} "]
+    assert not lost
+
+
+def test_spellings_that_gates_once_dropped(spark):
+    texts = {"same terms as Perl 5 itself": "perl", "the same terms as Perl programming language system itself": "perl", "X.Net license": "xnet", "Llama 2 Community Licence": "llama-community", "End User Licence Agreement": "eula", "dual-licenced": "dual-license"}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [d["label"] for d in r["detections"]] for r in scan(df).collect()}
+    assert all(label in got[i] for i, label in enumerate(texts.values())), got
+
+
 def test_main_path_has_no_python(spark):
     plan = op8.run(spark, SF)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|MapPartitions", plan)
