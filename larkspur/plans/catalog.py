@@ -17,6 +17,7 @@ from ..operators.validate import validate_lines
 from ..operators.vectors import bad_component, diff_counts, disagreements, integrity, norm, precision_at_k, search, top_k
 from ..schema import Limits
 from ..sources.generate import raw_lines
+from ..storage import table_checksums
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -369,8 +370,7 @@ def _(spark, sf_dir):
 
 @query("file_checksums")
 def _(spark, sf_dir):
-    files = spark.read.format("binaryFile").load([f"{sf_dir}/{t}.parquet" for t in ("nation", "region")])
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+    return table_checksums(spark, sf_dir)
 
 
 @query("generated_defects", "SELECT unnest(['E001','E002','E003','E004','E005','E006','E007','E008','E009','E010','E011','E012']) AS code, unnest([6,30,16,10,20,16,12,40,20,30,20,12]::BIGINT[]) AS expected, unnest([6,30,16,10,20,16,12,40,20,30,20,12]::BIGINT[]) AS actual, true AS agree")

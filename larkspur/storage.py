@@ -1,4 +1,4 @@
-"""Fixing intermediate results in the folder that all executors share, and small JSON files."""
+"""Fixing intermediate results in the folder that all executors share, checksums, and small JSON files."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ import hashlib
 import json
 import os
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -29,6 +30,36 @@ def file_sha256(path: str | Path) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
+def table_checksums(spark: SparkSession, folder: str) -> DataFrame:
+    """file (its path in the folder), length and sha256 of each file of the folder's Parquet tables.
+
+    A SHA-256 is sequential, and a file may be in a store that only Spark's readers open: each file passes once, as a
+    stream and never whole, through the driver's JVM, a few files at a time.
+    """
+    jvm, path = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    base = store.makeQualified(path(folder)).toString() + "/"
+    found = []
+    for entry in store.globStatus(path(base + "*.parquet")) or []:
+        files = store.listFiles(entry.getPath(), True)
+        while files.hasNext():
+            status = files.next()
+            name = status.getPath().toString().removeprefix(base)
+            if not any(part.startswith(("_", ".")) for part in name.split("/")):
+                found.append((name, status.getLen()))
+
+    def digest(name: str) -> str:
+        stream = store.open(path(base + name))
+        try:
+            return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(4) as pool:
+        sums = list(pool.map(digest, [name for name, _ in found]))
+    return spark.createDataFrame([(n, size, d) for (n, size), d in zip(found, sums, strict=True)], "file string, length long, sha256 string")
+
+
 def write_json(path: str | Path, content: dict) -> None:
     """Replaces the file in one step, after its bytes are on disk."""
     target = Path(path)

@@ -1,4 +1,6 @@
+import hashlib
 import json
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -32,6 +34,17 @@ def test_query_agrees_with_sql(spark, duck, name):
     assert rows(map(tuple, got.collect()), got.columns) == rows(want.fetchall(), want.columns)
 
 
+def test_checksums_cover_every_file_of_every_table(spark, tmp_path):
+    (tmp_path / "parts.parquet/deep").mkdir(parents=True)
+    for name, content in {"a.parquet": b"", "parts.parquet/0.parquet": b"x" * 300_000, "parts.parquet/deep/1.parquet": b"y", "parts.parquet/_SUCCESS": b"", "other.txt": b"z"}.items():
+        (tmp_path / name).write_bytes(content)
+    tables = [f"{t}.parquet" for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()]
+    for folder, names in ((SF, tables), (tmp_path, ["a.parquet", "parts.parquet/0.parquet", "parts.parquet/deep/1.parquet"])):
+        content = {n: (Path(folder) / n).read_bytes() for n in names}
+        got = catalog.QUERIES["file_checksums"](spark, str(folder)).collect()
+        assert sorted(map(tuple, got)) == sorted((n, len(c), hashlib.sha256(c).hexdigest()) for n, c in content.items())
+
+
 def test_stream_remembers_earlier_batches(spark, tmp_path):
     base = {"headline": "A headline that will do", "description": "d", "category": "travel", "advertiser_id": "v", "bid_cpm_usd": 1.0, "created_at": "2026-01-01T00:00:00Z"}
     (tmp_path / "in").mkdir()
