@@ -2,9 +2,10 @@
 
 A rule is a host, a path prefix and an action; it fits its host, all subdomains, and paths that start with its path.
 A host's labels reversed, a slash and the path make a key, in which a rule is a prefix, that is an interval of keys. A
-url asks with one key for each suffix of its host. Rules and keys are dealt out by range and sorted; a sweep keeps
-the stack of nested rules that are open, and the top of the stack is a key's longest rule. Of a url's keys the longest
-rule wins (then the longer host, then the first action).
+url asks with its host's key, and with one for each suffix that has as many labels as some rule's host (a few numbers,
+which the driver collects); a key holds no more of the path than the longest rule does. Rules and keys are dealt out by
+range and sorted; a sweep keeps the stack of nested rules that are open, and the top of the stack is a key's longest
+rule. Of a url's keys the longest rule wins (then the longer host, then the first action).
 
 Rules that are open where a partition begins come from the partitions before. A first sweep reports each partition's
 first key and the rules open at its end; the driver chains these into a stack for each partition. A stack holds nested
@@ -98,14 +99,18 @@ def judge(pages: DataFrame, rules: DataFrame, keep: Sequence[str] = ("page_id",)
     """The columns in ``keep``, and host, path, rule, verdict. rules: host, path, action."""
     host, path = url_parts(F.col(url))
     rows = pages.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), host.alias("host"), path.alias("path")).withColumn("uid", F.monotonically_increasing_id())
+    known = rules.where("host is not null and action is not null").select(lower_ascii(F.col("host")).alias("h"), F.coalesce("path", F.lit("")).alias("p"), "action").groupBy("h", "p").agg(F.min("action").alias("action"))
+    # One row: how many labels the rules' hosts have, and the length of the longest path. What a rule's host can't equal
+    # asks nothing, and no rule looks further into a path.
+    shape = known.agg(F.array_sort(F.collect_set(F.size(F.split("h", r"\.", -1)))).alias("counts"), F.coalesce(F.max(F.length("p")), F.lit(0)).alias("reach")).first()
     labels = F.split("host", r"\.", -1)
+    ends = [F.when(F.size(labels) > n, F.struct(F.array_join(F.reverse(F.slice(labels, -n, n)), ".").alias("k"), F.lit(False).alias("own"))) for n in shape["counts"]]
     # The whole host's key carries the row; keys of its suffixes need the number only.
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.array_join(F.reverse(F.slice(labels, i, F.size(labels))), ".").alias("k"), (i == 1).alias("own")))
+    suffixes = F.array_compact(F.array(F.struct(F.array_join(F.reverse(labels), ".").alias("k"), F.lit(True).alias("own")), *ends))
     asked = rows.withColumn("s", F.explode(suffixes))
     own = F.col("s.own")
     carried = [*(f"k{i}" for i in range(len(keep))), "host", "path"]
-    asked = asked.select("uid", *(F.when(own, F.col(c)).alias(c) for c in carried), F.when(own, 1).otherwise(2).alias("kind"), F.concat(F.col("s.k"), F.lit("/"), F.col("path")).alias("key"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("action"))
-    known = rules.where("host is not null and action is not null").select(lower_ascii(F.col("host")).alias("h"), F.coalesce("path", F.lit("")).alias("p"), "action").groupBy("h", "p").agg(F.min("action").alias("action"))
+    asked = asked.select("uid", *(F.when(own, F.col(c)).alias(c) for c in carried), F.when(own, 1).otherwise(2).alias("kind"), F.concat(F.col("s.k"), F.lit("/"), F.left(F.col("path"), F.lit(shape["reach"]))).alias("key"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("action"))
     types = dict(asked.dtypes)
     opened = known.select(F.lit(-1).cast("long").alias("uid"), *(F.lit(None).cast(types[c]).alias(c) for c in carried), F.lit(0).alias("kind"), F.concat(_reversed(F.col("h")), F.lit("/"), F.col("p")).alias("key"), F.concat("h", "p").alias("name"), "action")
     order = ["key", "kind", "uid"]

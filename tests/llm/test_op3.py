@@ -74,3 +74,10 @@ def test_odd_rules(spark):
     rules = spark.createDataFrame([("b", None, "block"), (None, "/", "allow"), ("B", "/x", None), ("A.b", "/x", "y"), ("a.b", "/x", "z")], "host string, path string, action string")
     assert rows_of(judge(urls, rules), COLS) == [(1, "a.b", "/x", "a.b/x", "y"), (2, "b", "", "b", "block"), (3, "", "", None, "allow")]
     assert [r["verdict"] for r in judge(urls, rules.limit(0)).collect()] == ["allow"] * 3
+
+
+def test_a_host_of_many_labels_and_a_long_path(spark):
+    urls = [(1, f"http://{'a.' * 30_000}net/es/{'x' * 1_000_000}"), (2, f"http://{'.' * 20_000}"), (3, f"http://{'é' * 50_000}.www.example.com/en/")]
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    rules = spark.createDataFrame(op3.RULES, "host string, path string, action string")
+    assert rows_of(judge(df, rules), COLS) == brute(urls, op3.RULES)
