@@ -8,7 +8,7 @@ calibrates: pooled adjacent violators give a rising curve from ridge output to t
 
 Cases: an empty or null text has all statistics 0 and gets that point's score. Labels other than 0 and 1, null ids
 and the held-out fifth are not learned from; without usable labels all scores are 0.5. Each row of a repeated id is
-scored. A statistic that never varies in the sample is ignored. Texts are read whole.
+scored, and one of them learned from. A statistic that never varies in the sample is ignored. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     """A model from at most ``rows`` labelled documents. The driver gets ``PARTS`` sums of fixed size, and the
     calibration fold's outputs and labels (a quarter of the rows)."""
     d = len(NAMES)
-    sample = labelled_sample(docs, labels, label, rows, "rff").mapInArrow(_measured, "x binary, y int, place string")
+    sample = labelled_sample(docs, labels, label, rows, "rff", _measured)
     sample = Staged(sample.repartition(PARTS, "place").sortWithinPartitions("place", "x"), "quality").df
     fold = F.conv(F.substring("place", 1, 4), 16, 10).cast("int") % 4
     learn, check = sample.where(fold != 0).sortWithinPartitions("place", "x"), sample.where(fold == 0)

@@ -1,13 +1,15 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are 32-bit hashes of a text's words, adjacent pairs, and pairs with one word between; words also enter cut to
-their stems, which carries over to inflected forms that the labels don't show. Each counts once a text. Training goes through a bounded sample of labelled rows (``SAMPLE_ROWS``, by a seeded hash of the id) in one task,
-in hash order, ``EPOCHS`` times. Each coordinate has a learning rate of its own, and the L1 term leaves few weights,
+their stems, which carries over to inflected forms that the labels don't show. Each counts once a text. Training goes
+through a bounded sample of labelled rows (``SAMPLE_ROWS``, by a seeded hash of the id, and ``SAMPLE_FEATURES``) in one
+task, in hash order, ``EPOCHS`` times. Each coordinate has a learning rate of its own, and the L1 term leaves few weights,
 which are broadcast sorted by hash: at most as many as the sample has features, in practice some thousands. Scoring
 covers each whole text, one at a time, in any number of partitions.
 
 Cases: a null or empty text scores the bias alone. Labels other than 0 and 1, null ids and the held-out fifth are not
-learned from. Several rows of one id are scored each. Without a usable label all scores are 0.5 and nothing is
+learned from, nor are texts of more than ``TEXT_FEATURES`` features. Several rows of one id are scored each, and one of
+them is learned from. Without a usable label all scores are 0.5 and nothing is
 predicted toxic. Tables may have other columns.
 """
 
@@ -24,10 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held_out
+from ._common import Staged, held_out, tidy
 from ._labels import labelled_sample
 
 SAMPLE_ROWS = 8_000
+#: Hashes that the sample holds at most (96 MB), and the most that one text may have to be learned from.
+SAMPLE_FEATURES, TEXT_FEATURES = 24_000_000, 2_000_000
 EPOCHS = 5
 #: Lengths to which longer words are cut for features of their stems, and how many words make a stem frequent.
 STEMS, MANY = (4, 5, 6, 7), 3
@@ -112,9 +116,9 @@ def train(rows: list[np.ndarray], labels: list[int], how: Ftrl, epochs: int) ->
     for r in rows:
         if len(keys):
             at = np.minimum(np.searchsorted(keys, r), len(keys) - 1)
-            index.append(at[keys[at] == r])
+            index.append(at[keys[at] == r].astype(np.int32))
         else:
-            index.append(np.empty(0, np.int64))
+            index.append(np.empty(0, np.int32))
     z, n = np.zeros(len(keys)), np.zeros(len(keys))
     share = (sum(labels) + 0.5) / (len(labels) + 1)
     bias, bias_n = math.log(share / (1 - share)), 0.0
@@ -142,10 +146,24 @@ def _train(how: Ftrl, epochs: int, batches: Iterator[pa.RecordBatch]) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array([keys.astype("<u4").tobytes()]), pa.array([values.astype("<f8").tobytes()]), pa.array([bias])], ["keys", "weights", "bias"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, how: Ftrl = Ftrl(), epochs: int = EPOCHS) -> Weights:
-    """Weights from at most ``rows`` labelled documents. Only the sample's hashes go to the training task."""
-    sample = labelled_sample(docs, labels, label, rows, "ftrl").mapInArrow(_featured, "x binary, y int, place string")
-    one = sample.repartition(1).sortWithinPartitions("place", "x")
+def _last_place(sizes: list[tuple[str, int]], most: int) -> str:
+    """The last place at which the sample, in order, holds no more than ``most`` features."""
+    last, total = "", 0
+    for place, n in sorted(sizes):
+        total += n
+        if total > most:
+            break
+        last = place
+    return last
+
+
+@tidy
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, how: Ftrl = Ftrl(), epochs: int = EPOCHS, features: int = SAMPLE_FEATURES, text_features: int = TEXT_FEATURES) -> Weights:
+    """Weights from at most ``rows`` labelled documents, of at most ``text_features`` features each and ``features`` in
+    all. Only the sample's hashes go to the training task, and one number for each of its rows to the driver."""
+    sample = Staged(labelled_sample(docs, labels, label, rows, "ftrl", _featured), "toxicity").df.where(F.octet_length("x") <= 4 * text_features)
+    sizes = [(r[0], r[1] // 4) for r in sample.select("place", F.octet_length("x")).collect()]
+    one = sample.where(F.col("place") <= _last_place(sizes, features)).repartition(1).sortWithinPartitions("place", "x")
     got = one.mapInArrow(functools.partial(_train, how, epochs), "keys binary, weights binary, bias double").collect()
     keys, values, bias = (np.frombuffer(got[0][0], "<u4"), np.frombuffer(got[0][1], "<f8"), got[0][2]) if got else (np.empty(0, "<u4"), np.empty(0), 0.0)
     upper = np.zeros(1 << 16, bool)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import toxicity
 from larkspur.llm._common import held_out
+from larkspur.llm._labels import labelled_sample
 from larkspur.llm.queries import op9
 from larkspur.llm.toxicity import Ftrl, features, fit, train, without_toxic
 
@@ -115,3 +116,15 @@ def test_without_labels_or_documents(spark, tmp_path):
     assert rows_of(got, ["doc_id", "score"]) == [(1, 0.5), (2, 0.5)]
     folder = write(tmp_path, documents=(DOCUMENTS, []), labels=(LABELS, [(1, 1, 1)]))
     assert op9.run(spark, folder).collect() == []
+
+
+def test_the_sample_is_bounded_in_rows_and_features(spark):
+    ids = [i for i in range(40) if not held(i)]
+    docs = spark.createDataFrame([(ids[0], f"word{i} again and again") for i in range(20_000)] + [(i, "a text " * i) for i in ids[1:]], "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    some = labelled_sample(docs, labels, "toxic", 10, "ftrl", toxicity._featured)
+    every = labelled_sample(docs, labels, "toxic", 100, "ftrl", toxicity._featured)
+    assert some.count() == 10 and every.count() == len(ids) == every.select("place").distinct().count()
+    sizes = [("b", 5), ("a", 3), ("c", 9), ("d", 1)]
+    assert [toxicity._last_place(sizes, n) for n in (2, 3, 8, 16, 17, 18)] == ["", "a", "b", "b", "c", "d"]
+    assert not len(fit(docs, labels, features=0).keys)
