@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ._common import Staged
 
-#: With so few edges left, one task finishes: the rounds' overhead would exceed its work. The result is the same.
+#: A default: with so few edges left, one task finishes, as the rounds' overhead would exceed its work. 0: rounds only.
 FEW = 20_000
 
 
@@ -20,16 +20,18 @@ def opaque(column: Column | str) -> Column:
     return F.array_max(F.array(column))
 
 
-def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
+def connected_components(edges: DataFrame, label: str = "cc", few: int | None = None) -> DataFrame:
     """(a, b) to (node, component) for each node that has an edge; component is the smallest node reachable.
 
     Each round takes two joins and a written table; nothing but a count and a checksum of the edges comes to the
-    driver. A hub's edges are only aggregated to a minimum, and joined to one row. At most ``FEW`` edges take no round.
+    driver. A hub's edges are only aggregated to a minimum, and joined to one row. At most ``few`` edges (``FEW``, where
+    it isn't given) take no round; both ways give the same rows.
     """
+    few = FEW if few is None else few
     cols = lambda df: df.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     now = Staged(cols(edges).where("u != v").distinct(), label)
     state = _state(now.df)
-    while state[0] > FEW:
+    while state[0] > few:
         e = now.df
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         low = both.groupBy("x").agg(F.min("y").alias("y")).select(opaque("x").alias("x"), F.least("x", "y").alias("m"))
@@ -43,7 +45,7 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
         now, last, state = after, state, _state(after.df)
         if state == last:
             break
-    if 0 < state[0] <= FEW:
+    if 0 < state[0] <= few:
         done = Staged(now.df.coalesce(1).mapInArrow(_finish, now.df.schema), label)
         now.drop()
         now = done

@@ -18,7 +18,7 @@ are linked if 100 times the intersection is at least 80 times the union; groups
 
 Cases: a text without words (or null) has an empty set, no links, and is its own component. With fewer words than a
 shingle has, the whole sequence is the one shingle. Null ids are ignored by the minimum; a group of only null ids has
-a null component, and its rows are kept. Rows with equal ids and texts are equal results. Other columns are ignored.
+a null component, and its rows are kept (of a filter's rows one). Rows with equal ids and texts are equal results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -145,12 +145,12 @@ def _judge(least: tuple[int, ...], batches: Iterator[pa.RecordBatch]) -> Iterato
             yield batch.select([0, 1]).take(pa.array(keep))
 
 
-def _judge_blocks(least: tuple[int, ...], width: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between rows of (bucket, i, j): side 0 against side 1, in different components, in the pair's first common
-    band. Links found merge components, so those of one block form a forest."""
-    known = _WordHash()
+def _blocks(batches: Iterator[pa.RecordBatch], least: tuple[int, ...]) -> Iterator[tuple]:
+    """For each group of (bucket, i, j): the group, its components' numbers, and for each row of side 0, one after the
+    other, the rows of side 1 in other components that no batch of hashes rules out, in the pair's first common band.
+    Components may be merged meanwhile."""
     for group in sorted_groups(batches, ["bucket", "i", "j"]):
-        names, comps, texts = (group.column(c).to_pylist() for c in ("node", "component", "text"))
+        names, comps = (group.column(c).to_pylist() for c in ("node", "component"))
         sigs, band = matrix(group.column("sig"), "<u4", HASHES), group.column("band")[0].as_py()
         side, away = group.column("side").to_numpy(), group.column("away").to_numpy(zero_copy_only=False)
         number = {c: i for i, c in enumerate(dict.fromkeys(comps))}
@@ -158,21 +158,45 @@ def _judge_blocks(least: tuple[int, ...], width: int, percent: int, batches: Ite
         rank = np.empty(len(names), np.int64)
         rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
         right = np.flatnonzero(side == 1)
+
+        def near(comp=comp, side=side, away=away, rank=rank, right=right, sigs=sigs, band=band):
+            for x in np.flatnonzero(side == 0):
+                other = right[(comp[right] != comp[x]) & (~away[right] | (rank[right] > rank[x]))]
+                if len(other):
+                    other = other[survivors(sigs[[x]], sigs[other], least)]
+                    common = (sigs[other] == sigs[x]).reshape(-1, BANDS, ROWS).all(axis=2)
+                    yield x, other[common.argmax(axis=1) == band]
+
+        yield group, names, comp, near()
+
+
+def _wanted(least: tuple[int, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose sets a group must see: those with a partner that the signatures leave."""
+    for group, _, _, near in _blocks(batches, least):
+        some = np.zeros(group.num_rows, bool)
+        for x, others in near:
+            some[others] = True
+            some[x] |= len(others) > 0
+        if some.any():
+            yield from group.filter(pa.array(some)).combine_chunks().to_batches()
+
+
+def _judge_blocks(least: tuple[int, ...], width: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between rows of (bucket, i, j): side 0 against side 1, in different components, in the pair's first common
+    band. Links found merge components, so those of one block form a forest."""
+    known = _WordHash()
+    for group, names, comp, near in _blocks(batches, least):
+        texts = group.column("text")
         sets: dict[int, set[int]] = {}
 
-        def of(i: int) -> set[int]:
+        def of(i: int, sets=sets, texts=texts) -> set[int]:
             if i not in sets:
-                sets[i] = set(shingle_hashes(words_of(texts[i]), width, known).tolist())
+                sets[i] = set(shingle_hashes(words_of(texts[i].as_py()), width, known).tolist())
             return sets[i]
 
         found = []
-        for x in np.flatnonzero(side == 0):
-            other = right[(comp[right] != comp[x]) & (~away[right] | (rank[right] > rank[x]))]
-            if not len(other):
-                continue
-            other = other[survivors(sigs[[x]], sigs[other], least)]
-            common = (sigs[other] == sigs[x]).reshape(-1, BANDS, ROWS).all(axis=2)
-            for y in other[common.argmax(axis=1) == band]:
+        for x, others in near:
+            for y in others:
                 if comp[x] != comp[y]:
                     p, q = of(x), of(y)
                     both = len(p & q)
@@ -201,11 +225,12 @@ def _confirm(width: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Ite
 
 @tidy
 def _grouped(docs: DataFrame, width: int, percent: int, miss: float) -> tuple[Staged, Staged]:
-    """doc_id, text_key, n_shingles, node, sig for each row; s (a node), component_id for each set."""
+    """doc_id, text_key, n_shingles, node, sig for each row; s (a node), component_id, first (the group's first row: its
+    id, or null, and text_key) for each set."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     sketch_type = "doc_id long, text_key long, n_shingles long, node binary, sig binary"
     sketch = Staged(keyed.mapInArrow(functools.partial(_sketch, width), sketch_type), "sketch")
-    nodes = Staged(sketch.df.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_key")).alias("ref"), F.min("sig").alias("sig")), "nodes").df
+    nodes = Staged(sketch.df.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("ref"), F.min("sig").alias("sig")), "nodes").df
     sigs = nodes.select("node", "sig")
     least = least_matches(percent / 100, miss)
 
@@ -232,15 +257,13 @@ def _grouped(docs: DataFrame, width: int, percent: int, miss: float) -> tuple[St
     stars = Staged(connected_components(tested(pairs)), "stars").df
 
     members = _members(bands(grouped(stars), BANDS))
-    wanted = members.select("node").distinct()
-    texts = _texts(wanted, nodes, keyed)
-    rest = _undecided(members, sigs, texts, least, width, percent)
+    rest = _undecided(members, nodes, keyed, least, width, percent)
     stars = merged(stars, _confirmed(rest, nodes, keyed, width, percent))
 
-    named = nodes.select("node", "least_id").join(stars.withColumnRenamed("node", "s"), F.col("node") == F.col("s"), "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
+    named = nodes.select("node", "least_id", "ref").join(stars.withColumnRenamed("node", "s"), F.col("node") == F.col("s"), "left").select("node", "least_id", "ref", F.coalesce("component", "node").alias("component"))
     named = Staged(named, "named").df
-    first = named.groupBy("component").agg(F.min("least_id").alias("component_id")).select(opaque("component").alias("c"), "component_id")
-    return sketch, Staged(named.join(first, F.col("component") == F.col("c")).select(F.col("node").alias("s"), "component_id"), "components")
+    first = named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.min("ref").alias("first")).select(opaque("component").alias("c"), "component_id", "first")
+    return sketch, Staged(named.join(first, F.col("component") == F.col("c")).select(F.col("node").alias("s"), "component_id", "first"), "components")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
@@ -280,8 +303,10 @@ def _members(banded: DataFrame) -> DataFrame:
     return Staged(banded.join(homes, F.col("bucket") == F.col("k")).select("band", "bucket", "node", "component", (F.col("component") != F.col("home")).alias("away")), "members").df
 
 
-def _undecided(members: DataFrame, sigs: DataFrame, texts: DataFrame, least: tuple[int, ...], width: int, percent: int) -> DataFrame:
-    """Links between a bucket's members in different components: those away meet all members, in blocks."""
+def _undecided(members: DataFrame, nodes: DataFrame, keyed: DataFrame, least: tuple[int, ...], width: int, percent: int) -> DataFrame:
+    """Links between a bucket's members in different components: those away meet all members, in blocks, first by
+    signatures alone; then the members that have a partner left meet again with their texts."""
+    sigs = nodes.select("node", "sig")
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("away").alias("away_n"))
     sizes = sizes.select(opaque("bucket").alias("k"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nj"), F.ceil(F.col("away_n") / BLOCK).cast("int").alias("ni"))
     mixed = members.join(sizes, F.col("bucket") == F.col("k")).drop("k")
@@ -289,20 +314,30 @@ def _undecided(members: DataFrame, sigs: DataFrame, texts: DataFrame, least: tup
     left = mixed.where("away").withColumn("i", F.pmod(place, F.col("ni")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1))).withColumn("side", F.lit(0))
     right = mixed.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1))).withColumn("j", F.pmod(place, F.col("nj")).cast("int")).withColumn("side", F.lit(1))
     cols = ["bucket", "i", "j", "side", "band", "node", "component", "away"]
-    bodies = sigs.join(texts.withColumnRenamed("node", "t"), F.col("node") == F.col("t")).select(F.col("node").alias("s"), "sig", "text")
-    rows = left.select(*cols).unionByName(right.select(*cols)).join(bodies, F.col("node") == F.col("s")).drop("s")
-    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return rows.mapInArrow(functools.partial(_judge_blocks, least, width, percent), "a binary, b binary")
+    rows = left.select(*cols).unionByName(right.select(*cols)).join(sigs.withColumnRenamed("node", "s"), F.col("node") == F.col("s")).drop("s")
+    blocks = lambda rows: rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    kind = "bucket long, i int, j int, side int, band int, node binary, component binary, away boolean, sig binary"
+    wanted = Staged(blocks(rows).mapInArrow(functools.partial(_wanted, least), kind), "wanted").df
+    texts = _texts(wanted.select("node").distinct(), nodes, keyed)
+    rows = wanted.join(texts.withColumnRenamed("node", "t"), F.col("node") == F.col("t")).drop("t")
+    return blocks(rows).mapInArrow(functools.partial(_judge_blocks, least, width, percent), "a binary, b binary")
 
 
 @tidy
 def _kept(docs: DataFrame, width: int, percent: int) -> Staged:
-    kept = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("__near_id"), F.col("text_key").alias("__near_key"))
-    return Staged(kept.groupBy("__near_id", "__near_key").agg(F.count(F.lit(1)).alias("__near_n")), "kept")
+    """__near_id, __near_key (id and text_key) and __near_n (rows) of what stays: a group's first row, and each id's rows
+    without words."""
+    sketched, result = (x.df for x in _grouped(docs, width, percent, MISS))
+    some = sketched.where("node is not null").join(result, F.col("node") == F.col("s"))
+    some = some.where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))
+    kept = some.select("doc_id", "text_key").unionByName(sketched.where("node is null").select("doc_id", "text_key"))
+    return Staged(kept.groupBy(F.col("doc_id").alias("__near_id"), F.col("text_key").alias("__near_key")).agg(F.count(F.lit(1)).alias("__near_n")), "kept")
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are kept: one of each group, with their own columns only."""
+    """The rows of ``docs`` that are kept, with their own columns only: one of each group, whatever ids repeat. That is the
+    row of the smallest id (of none, where no id is), and of its texts the one whose hash is smallest. Rows without
+    words are no group's: they stay, once for each id and text."""
     kept = _kept(docs, width, percent).df
     out = docs.join(kept.drop("__near_n"), docs["doc_id"].eqNullSafe(F.col("__near_id")) & (F.xxhash64(docs["text"]) == F.col("__near_key")), "left_semi")
     return out if kept.where("__near_n > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])

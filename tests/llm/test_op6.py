@@ -102,6 +102,12 @@ def test_repeated_rows_leave_one(spark):
     assert [tuple(r) for r in mh.without_near_duplicates(df).collect()] == [(1, "a b c d e f")]
 
 
+def test_one_row_of_a_group_stays_whatever_ids_repeat(spark):
+    rows = [(1, "one two three four five six seven"), (1, "One Two Three Four Five Six Seven"), (2, "ONE two three four five six seven"), (None, "eight nine ten"), (None, "Eight nine ten"), (None, "two three"), (7, "two THREE"), (8, ""), (8, ""), (9, None)]
+    got = mh.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), (r["text"] or "").lower()) for r in got) == [("1", rows[0][1]), ("7", "two three"), ("8", ""), ("9", ""), ("None", "eight nine ten")]
+
+
 def test_empty(spark, tmp_path):
     folder = write(tmp_path, documents=(DOCUMENTS, []))
     assert op6.run(spark, folder).collect() == []
@@ -119,8 +125,7 @@ def test_pairs_at_the_threshold_survive_the_batches():
 
 
 @pytest.mark.parametrize("few", [0, 40, 20_000])
-def test_components_of_random_graphs(spark, monkeypatch, few):
-    monkeypatch.setattr(graph, "FEW", few)
+def test_components_of_random_graphs(spark, few):
     rng = random.Random(7)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(200)]
     home = {}
@@ -133,5 +138,5 @@ def test_components_of_random_graphs(spark, monkeypatch, few):
     for a, b in edges:
         a, b = find(a), find(b)
         home[max(a, b)] = min(a, b)
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
