@@ -48,6 +48,31 @@ def test_estimates_lie_within_their_bounds():
     assert np.allclose(rotation(48) @ rotation(48).T, np.eye(48))
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_few_are_reranked_and_nearly_all_neighbours_found(clustered):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(20_000, 64))
+    if clustered:
+        x = 0.5 * x + rng.normal(size=(100, 64))[rng.integers(0, 100, len(x))]
+    x = x.astype("f4").astype(float)
+    kept, hits, asked = 0, 0, range(0, 20_000, 500)
+    codes = [(s, *encode(x[s : s + ann.INDEX_BLOCK])) for s in range(0, len(x), ann.INDEX_BLOCK)]
+    true = {q: set(np.argsort(((x - x[q]) ** 2).sum(axis=1))[1:11].tolist()) for q in asked}
+    for s, *code in codes:
+        low, high = bounds(x[list(asked)], *code, ann.BOUND)
+        for i, q in enumerate(asked):
+            limit = np.partition(np.delete(high[i], q - s) if s <= q < s + ann.INDEX_BLOCK else high[i], 9)[9]
+            found = set((np.flatnonzero(low[i] <= limit) + s).tolist()) - {q}
+            kept, hits = kept + len(found), hits + len(found & true[q])
+    assert hits >= 0.98 * 10 * len(asked) and kept < (0.1 if clustered else 0.5) * len(asked) * len(x)
+
+
+def test_products_from_packed_bits():
+    rng = np.random.default_rng(3)
+    turned, bits = rng.normal(size=(7, 21)), rng.random((50, 21)) > 0.5
+    assert np.allclose(ann.code_products(turned, np.packbits(bits, axis=1)), turned @ (bits.T * 2.0 - 1), atol=1e-5)
+
+
 @pytest.mark.parametrize("clash", [False, True])
 def test_odd_rows(spark, tmp_path, clash):
     nan, inf = float("nan"), float("inf")
