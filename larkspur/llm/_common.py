@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 _own_dir: dict[str, str] = {}
 _written: dict[str, SparkSession] = {}
+#: For each thread, the tables that each tidy function under way in it has written.
+_calls = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +40,8 @@ class Staged:
         self.path = f"{shared_dir(self.spark)}/larkspur-{label}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         _written[self.path] = self.spark
+        if stack := getattr(_calls, "stack", None):
+            stack[-1].append(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -58,16 +63,25 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def tidy(f: Callable) -> Callable:
-    """The scratch tables that a function writes go when it returns, but for those that it returns as ``Staged``."""
+    """The scratch tables that a function writes go when it returns, but for those that it returns as ``Staged``; tables of
+    other calls, such as of another thread's, stay."""
 
     @functools.wraps(f)
     def run(*args, **named):
-        before = set(_written)
-        out = f(*args, **named)
-        kept = {x.path for x in (out if isinstance(out, tuple) else (out,)) if isinstance(x, Staged)}
-        for path, spark in list(_written.items()):
-            if path not in before | kept:
-                _delete(spark, path)
+        stack = _calls.__dict__.setdefault("stack", [])
+        stack.append([])
+        try:
+            out = f(*args, **named)
+            kept = {x.path for x in (out if isinstance(out, tuple) else (out,)) if isinstance(x, Staged)}
+        except BaseException:
+            stack.pop()
+            raise
+        mine = stack.pop()
+        for path in mine:
+            if path in _written and path not in kept:
+                _delete(_written[path], path)
+        if stack:
+            stack[-1].extend(p for p in mine if p in kept)
         return out
 
     return run

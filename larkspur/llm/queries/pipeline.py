@@ -1,5 +1,5 @@
-import corpus_pipeline
+from ..pipeline import ORACLE_SQL as SQL
+from ..pipeline import run
 
 NAME = "pipeline"
-SQL = corpus_pipeline.ORACLE_SQL
-run = corpus_pipeline.run
+__all__ = ["NAME", "SQL", "run"]

@@ -1,6 +1,6 @@
 import pytest
 
-import corpus_pipeline
+from larkspur.llm import pipeline as corpus_pipeline
 from larkspur.llm import mixing, quality, toxicity
 from larkspur.llm.queries import pipeline
 
