@@ -19,6 +19,7 @@ from pyspark.sql.types import StringType
 
 from .types import struct
 
+# What counts as a tag and as a control character.
 TAG = r"<[^>]{1,200}>"
 CONTROL = "[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\u200b-\u200f\ufeff]"
 _TAG, _CONTROL, _SPACE = re.compile(TAG), re.compile(CONTROL), re.compile(r"\s+")
@@ -95,7 +96,7 @@ def read_bid(value: object) -> tuple[float | None, list[str]]:
             return float("inf") if value > 0 else float("-inf"), []
     if isinstance(value, str):
         try:
-            return float(value.strip().translate({36: None, 44: None})), ["W005"]
+            return float(value.strip().replace("$", "").replace(",", "")), ["W005"]
         except ValueError:
             pass
     return None, []

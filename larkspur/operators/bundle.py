@@ -2,30 +2,36 @@
 
 A version is a folder with vectors.f32 (little-endian rows), ads.jsonl and manifest.json, beside LATEST, which names the
 current one. A version appears by one rename and becomes current by another; nothing is ever overwritten. The files
-are single and ordered by nature: one writer streams rows, a partition at a time.
+are single and ordered by nature: lines are sorted and written in parallel and joined end to end by streams, vectors
+come through one writer, packed, a partition at a time. All paths are those of any store that Spark's readers open.
 """
 
 from __future__ import annotations
 
+import functools
 import json
-import os
 import re
-import shutil
+import uuid
+from collections.abc import Iterator
 from datetime import UTC, datetime
-from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CLEAN, CLEAN_COLUMNS
 from ..sources.lines import numbered_lines
-from ..storage import file_sha256, fixed, write_json
+from ..storage import delete, exists, file_sha256, fixed, is_file, make_dirs, read_text, rename, size, write_chunks, write_json, write_lines, write_text
 from .embed import load_clean
 from .vectors import TOLERANCE, integrity, top_k
 
+# The format's version, and the bytes that a line of ads.jsonl may have.
 FORMAT = 1
 LINE_CAP = 1 << 20
+#: Rows of a packed piece of a vector file.
+_PIECE = 4096
 
 
 class BundleError(RuntimeError):
@@ -73,39 +79,90 @@ def check_manifest(m: dict) -> dict:
     return m
 
 
-def latest(root: str | Path) -> Path:
+def latest(spark: SparkSession, root: str) -> str:
     """The current version's folder."""
-    try:
-        name = (Path(root) / "LATEST").read_text(encoding="utf-8").strip()
-    except OSError as error:
-        raise ManifestError(f"no pointer in {root}") from error
+    pointer = f"{root.rstrip('/')}/LATEST"
+    if not is_file(spark, pointer):
+        raise ManifestError(f"no pointer in {root}") from FileNotFoundError(pointer)
+    name = read_text(spark, pointer).strip()
     _demand(plain_name(name), ManifestError, f"pointer {name!r} is no plain name")
-    return Path(root) / name
+    return f"{root.rstrip('/')}/{name}"
+
+
+def _pieces(records: Iterator[tuple], width: int) -> Iterator[tuple]:
+    """(offset, bytes) of single records to (first row, bytes) of up to ``_PIECE`` that follow one another."""
+    first, held = 0, []
+    for at, body in records:
+        row = at // width
+        if held and (row != first + len(held) or len(held) == _PIECE):
+            yield first, bytearray(b"".join(held))
+            held = []
+        if not held:
+            first = row
+        held.append(bytes(body))
+    if held:
+        yield first, bytearray(b"".join(held))
+
+
+def _unpacked(dim: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            flat = np.frombuffer(body.as_buffer(), "<f4")
+            n = len(flat) // dim
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + n)), vectors], ["row", "vector"])
 
 
 def read_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """row, vector of a file of little-endian floats, read in parallel as fixed-length records."""
-    records = spark.read.format("binaryFile").load(path).select("length").first()
-    n = records["length"] // (4 * dim) if records else 0
-    raw = spark.sparkContext.binaryRecords(path, dim * 4).zipWithIndex()
-    rows = raw.map(lambda r: (r[1], np.frombuffer(r[0], "<f4").tolist()))
-    return spark.createDataFrame(rows, "row long, vector array<float>") if n else spark.createDataFrame([], "row long, vector array<float>")
+    """row, vector of a file of little-endian floats. Splits are read in parallel as fixed-length records, each with its
+    place in the file; pieces of them are unpacked as Arrow columns."""
+    width, kind = 4 * dim, "row long, vector array<float>"
+    if not size(spark, path) // width:
+        return spark.createDataFrame([], kind)
+    io = "org.apache.hadoop.io"
+    raw = spark.sparkContext.newAPIHadoopFile(path, "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", f"{io}.LongWritable", f"{io}.BytesWritable", conf={"fixedlengthinputformat.record.length": str(width)})
+    packed = raw.mapPartitions(functools.partial(_pieces, width=width))
+    return spark.createDataFrame(packed, "first long, body binary").mapInArrow(functools.partial(_unpacked, dim), kind)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """vector to pieces of little-endian floats."""
+    for batch in batches:
+        for s in range(0, batch.num_rows, _PIECE):
+            flat = batch.column(0).slice(s, _PIECE).flatten().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array([flat.astype("<f4").tobytes()], pa.binary())], ["body"])
+
+
+def write_vectors(rows: DataFrame, path: str) -> None:
+    """A file of the vectors of row, vector in the order of row; a partition at a time comes to the one writer."""
+    packed = rows.orderBy("row").select("vector").mapInArrow(_packed, "body binary")
+    write_chunks(rows.sparkSession, path, (r[0] for r in packed.toLocalIterator(prefetchPartitions=True)))
+
+
+def ends_of(rows: DataFrame) -> DataFrame:
+    """One row over row, ad_id: n, the first and the last id (a, z), blank (ids without text)."""
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.min_by("ad_id", "row").alias("a"), F.max_by("ad_id", "row").alias("z"), F.count_if(F.trim("ad_id") == "").alias("blank"))
+
+
+def aligned(clean: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The rows whose record and vector have the same id."""
+    return clean.join(vectors, ["row", "ad_id"])
 
 
 def publish(spark: SparkSession, clean_path: str, embedded_dir: str, root: str) -> dict:
     """Verifies, writes a version beside the others, and makes it current last. What was current stays so on failure."""
-    source, out = Path(embedded_dir), Path(root)
-    for p in (Path(clean_path), source / "embed_manifest.json", source / "embedded.parquet"):
-        if not p.exists():
-            raise FileNotFoundError(str(p))
-    told = json.loads((source / "embed_manifest.json").read_text())
-    _demand(told["source_sha256"] == file_sha256(clean_path), PublishError, "the clean file has changed since it was embedded")
+    source, out = embedded_dir.rstrip("/"), root.rstrip("/")
+    for p in (clean_path, f"{source}/embed_manifest.json", f"{source}/embedded.parquet"):
+        if not exists(spark, p):
+            raise FileNotFoundError(p)
+    told = json.loads(read_text(spark, f"{source}/embed_manifest.json"))
+    _demand(told["source_sha256"] == file_sha256(spark, clean_path), PublishError, "the clean file has changed since it was embedded")
     clean = fixed(load_clean(spark, clean_path))
-    vectors = spark.read.parquet(str(source / "embedded.parquet")).select("row", "ad_id", "vector")
-    ends = clean.agg(F.count(F.lit(1)).alias("n"), F.min_by("ad_id", "row").alias("a"), F.max_by("ad_id", "row").alias("z"), F.count_if(F.trim("ad_id") == "").alias("blank")).first()
-    ids = clean.groupBy("ad_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+    vectors = spark.read.parquet(f"{source}/embedded.parquet").select("row", "ad_id", "vector")
+    ends = ends_of(clean).first()
+    ids = repeated_ids(clean).limit(1).collect()
     state = integrity(vectors, told["dim"]).first()
-    matched = clean.join(vectors, ["row", "ad_id"]).count()
+    matched = aligned(clean, vectors).count()
     for ok, what in (
         (ends["n"] > 0, "there are no records"), (ends["n"] == told["count"] == state["n"], f"{ends['n']} records, {state['n']} vectors, {told['count']} in the manifest"),
         (state["wrong_dim"] == 0, f"{state['wrong_dim']} vectors of another dimension"), (ends["a"] == told["first_ad_id"] and ends["z"] == told["last_ad_id"], "first or last id differs"),
@@ -113,48 +170,37 @@ def publish(spark: SparkSession, clean_path: str, embedded_dir: str, root: str)
         (state["off_unit"] == 0, f"{state['off_unit']} vectors aren't of unit length ({state['least_norm']} to {state['most_norm']})"),
     ):
         _demand(ok, PublishError, str(what))
-    out.mkdir(parents=True, exist_ok=True)
-    stage = out / f".staging-{os.getpid()}"
-    shutil.rmtree(stage, ignore_errors=True)
-    stage.mkdir()
+    make_dirs(spark, out)
+    stage = f"{out}/.staging-{uuid.uuid4().hex}"
+    make_dirs(spark, stage)
     try:
-        _write(stage / "vectors.f32", (np.asarray(r[0], "<f4").tobytes() for r in vectors.orderBy("row").select("vector").toLocalIterator(prefetchPartitions=True)))
-        as_json = clean.orderBy("row").select(F.to_json(F.struct("row", *CLEAN_COLUMNS)))
-        _write(stage / "ads.jsonl", (r[0].encode() + b"\n" for r in as_json.toLocalIterator(prefetchPartitions=True)))
-        digest = file_sha256(stage / "vectors.f32")
+        write_vectors(vectors, f"{stage}/vectors.f32")
+        write_lines(clean.select("row", F.to_json(F.struct("row", *CLEAN_COLUMNS)).alias("told")), "row", "told", f"{stage}/ads.jsonl")
+        digest = file_sha256(spark, f"{stage}/vectors.f32")
         now = datetime.now(UTC)
+        # Fixed names: the manifest's fields.
         manifest = dict(
             format_version=FORMAT, created_at=f"{now:%Y-%m-%dT%H:%M:%SZ}",
             model={k: told[s] for k, s in (("name", "model"), ("revision", "revision"), ("dim", "dim"), ("max_tokens", "max_tokens"))} | {"normalized": True, "similarity": "dot"},
-            vectors=dict(file="vectors.f32", count=ends["n"], dim=told["dim"], bytes=(stage / "vectors.f32").stat().st_size, sha256=digest, dtype="float32", layout="row_major", byte_order="little"),
-            ads=dict(file="ads.jsonl", sha256=file_sha256(stage / "ads.jsonl"), count=ends["n"]),
+            vectors=dict(file="vectors.f32", count=ends["n"], dim=told["dim"], bytes=size(spark, f"{stage}/vectors.f32"), sha256=digest, dtype="float32", layout="row_major", byte_order="little"),
+            ads=dict(file="ads.jsonl", sha256=file_sha256(spark, f"{stage}/ads.jsonl"), count=ends["n"]),
             source=dict(clean_file=clean_path, clean_sha256=told["source_sha256"], embedded_at=told["created_at"], tokens=told["tokens"], device=told["device"]),
         )
-        write_json(stage / "manifest.json", check_manifest(manifest))
+        write_json(spark, f"{stage}/manifest.json", check_manifest(manifest))
         version = f"{now:%Y%m%dT%H%M%SZ}-{digest[:8]}"
-        _demand(not (out / version).exists(), PublishError, f"version {version} exists")
-        os.rename(stage, out / version)
+        _demand(not exists(spark, f"{out}/{version}"), PublishError, f"version {version} exists")
+        rename(spark, stage, f"{out}/{version}")
     finally:
-        shutil.rmtree(stage, ignore_errors=True)
-    draft = out / ".LATEST.draft"
-    draft.write_text(version + "\n", encoding="utf-8")
-    os.replace(draft, out / "LATEST")
+        delete(spark, stage)
+    write_text(spark, f"{out}/LATEST", version + "\n")
     return manifest | {"version": version}
 
 
-def _write(path: Path, parts) -> None:
-    with open(path, "wb") as f:
-        for p in parts:
-            f.write(p)
-        f.flush()
-        os.fsync(f.fileno())
-
-
 class Bundle:
     """A verified version. ``rows`` has row, the clean columns and vector."""
 
-    def __init__(self, manifest: dict, rows: DataFrame, version: str = ""):
-        self.version = version
+    def __init__(self, manifest: dict, rows: DataFrame, version: str = "", folder: str = ""):
+        self.version, self.folder = version, folder
         self.manifest, self.rows, self.count, self.dim = manifest, rows, manifest["ads"]["count"], manifest["vectors"]["dim"]
 
     def __len__(self) -> int:
@@ -174,37 +220,58 @@ class Bundle:
 
 
 def load(spark: SparkSession, root: str) -> Bundle:
-    return load_version(spark, latest(root))
+    return load_version(spark, latest(spark, root))
 
 
-def load_version(spark: SparkSession, folder: str | Path) -> Bundle:
-    """Checks the cheapest first: manifest, sizes, checksums, vectors, records."""
-    folder = Path(folder)
+def read_manifest(spark: SparkSession, folder: str) -> dict:
+    """A version's manifest, checked."""
     try:
-        manifest = json.loads((folder / "manifest.json").read_text(encoding="utf-8"))
-    except (OSError, ValueError) as error:
+        return check_manifest(json.loads(read_text(spark, f"{folder}/manifest.json")))
+    except (OSError, ValueError, Py4JJavaError) as error:
         raise ManifestError(f"no readable manifest in {folder}") from error
-    spec, ads = check_manifest(manifest)["vectors"], manifest["ads"]
-    at, told = folder / spec["file"], folder / ads["file"]
-    for path, error in ((at, VectorsError), (told, AdsError)):
-        if not path.is_file():
-            raise error(f"{path.name} is missing") from FileNotFoundError(str(path))
-    _demand(at.stat().st_size == spec["bytes"], VectorsError, f"{at.name} isn't {spec['bytes']} bytes long")
-    vectors = read_vectors(spark, str(at), spec["dim"])
+
+
+def check_vectors(spark: SparkSession, path: str, spec: dict) -> DataFrame:
+    """row, vector, after size, checksum and rows."""
+    if not is_file(spark, path):
+        raise VectorsError(f"{path} is missing") from FileNotFoundError(path)
+    _demand(size(spark, path) == spec["bytes"], VectorsError, f"{path} isn't {spec['bytes']} bytes long")
+    _demand(file_sha256(spark, path) == spec["sha256"], ChecksumError, path)
+    vectors = read_vectors(spark, path, spec["dim"])
     state = integrity(vectors, spec["dim"]).first()
     _demand(state["nonfinite"] == 0 and state["off_unit"] == 0, VectorsError, f"row {state['first_bad_row']} isn't a finite unit vector (tolerance {TOLERANCE})")
-    _demand(file_sha256(at) == spec["sha256"], ChecksumError, at.name)
-    lines = numbered_lines(spark, str(told))
-    rows = fixed(lines.select((F.col("line_no") - 1).alias("at"), F.length("line").alias("size"), F.from_json("line", f"row long, {CLEAN}, broken string", {"columnNameOfCorruptRecord": "broken"}).alias("r")))
+    return vectors
+
+
+def check_ads(spark: SparkSession, path: str, spec: dict) -> DataFrame:
+    """row and the clean columns, after order, ids, count and checksum."""
+    if not is_file(spark, path):
+        raise AdsError(f"{path} is missing") from FileNotFoundError(path)
+    lines = numbered_lines(spark, path)
+    rows = fixed(lines.select((F.col("line_no") - 1).alias("at"), F.octet_length("line").alias("size"), F.from_json("line", f"row long, {CLEAN}, broken string", {"columnNameOfCorruptRecord": "broken"}).alias("r")))
     r = F.col("r")
     bad = rows.where((F.col("size") > LINE_CAP) | r.isNull() | r["broken"].isNotNull() | r["row"].isNull() | (r["row"] != F.col("at")) | (F.coalesce(r["ad_id"], F.lit("")) == "")).agg(F.min("at")).first()[0]
     _demand(bad is None, AdsError, f"line {bad} is malformed or out of order")
-    twice = rows.groupBy("r.ad_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+    twice = repeated_ids(rows.select("r.ad_id")).limit(1).collect()
     _demand(not twice, AdsError, "an id occurs twice")
     n = rows.count()
-    _demand(n == ads["count"], AdsError, f"{n} records, {ads['count']} in the manifest")
-    _demand(file_sha256(told) == ads["sha256"], ChecksumError, told.name)
-    return Bundle(manifest, fixed(rows.select("r.*").drop("broken").join(vectors, "row")), folder.name)
+    _demand(n == spec["count"], AdsError, f"{n} records, {spec['count']} in the manifest")
+    _demand(file_sha256(spark, path) == spec["sha256"], ChecksumError, path)
+    return rows.select("r.*").drop("broken")
+
+
+def repeated_ids(rows: DataFrame, column: str = "ad_id") -> DataFrame:
+    """The column's values that occur more than once, with their number."""
+    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def load_version(spark: SparkSession, folder: str) -> Bundle:
+    """Checks the cheapest first: manifest; size, checksum and rows of vectors; records."""
+    folder = folder.rstrip("/")
+    manifest = read_manifest(spark, folder)
+    vectors = check_vectors(spark, f"{folder}/{manifest['vectors']['file']}", manifest["vectors"])
+    ads = check_ads(spark, f"{folder}/{manifest['ads']['file']}", manifest["ads"])
+    return Bundle(manifest, fixed(ads.join(vectors, "row")), folder.rpartition("/")[2], folder)
 
 
 def report(bundle: Bundle) -> str:

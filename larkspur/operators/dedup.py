@@ -3,7 +3,9 @@
 A record is accepted if neither its id nor its fingerprint belongs to an accepted record before it: the greedy matching
 of ids and fingerprints. Records with both keys to themselves are accepted at once. Among the others, in rounds, each
 record that is first for both its keys is accepted and those that share a key with it are decided. Rounds touch only
-what is undecided; when that is at most ``TAIL`` rows, one task finishes them in order.
+what is undecided; when that is at most ``tail`` rows (``TAIL`` by default; 0: rounds only), one task finishes them in
+order, to the same result. Keys are aggregated before the shuffle, and what comes of that is joined in a form that
+lets the adaptive planner split a hot key's rows.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import fixed
@@ -32,9 +34,16 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0]).filter(pa.array(keep, pa.bool_()))
 
 
+def opaque(column: str) -> Column:
+    """The same value in a form whose partitioning the planner can't follow, so that the join gets an exchange of its own
+    and a hot key's rows can be split."""
+    return F.array_max(F.array(column))
+
+
 def _least(rows: DataFrame, key: str) -> DataFrame:
     """Each key's first line; aggregated before the shuffle, so a hot key is one row for each task."""
-    return rows.groupBy(key).agg(F.min("line_no").alias(f"first_{key}"), F.count(F.lit(1)).alias(f"n_{key}")).withColumnRenamed(key, f"k_{key}")
+    least = rows.groupBy(key).agg(F.min("line_no").alias(f"first_{key}"), F.count(F.lit(1)).alias(f"n_{key}"))
+    return least.select(opaque(key).alias(f"k_{key}"), f"first_{key}", f"n_{key}")
 
 
 def _with_firsts(rows: DataFrame) -> DataFrame:
@@ -55,16 +64,29 @@ def accepted_lines(rows: DataFrame, tail: int = TAIL) -> DataFrame:
         accepted = accepted.unionByName(won.select("line_no"))
         left = firsts.select("line_no", *_KEYS)
         for key in _KEYS:
-            left = left.join(won.select(F.col(key).alias("k")), F.col(key) == F.col("k"), "left_anti")
+            left = left.join(won.select(opaque(key).alias("k")), F.col(key) == F.col("k"), "left_anti")
         left = fixed(left)
     if n:
         accepted = accepted.unionByName(left.coalesce(1).sortWithinPartitions("line_no").mapInArrow(_in_order, "line_no long"))
     return fixed(accepted)
 
 
-def duplicates(rows: DataFrame, tail: int = TAIL) -> DataFrame:
-    """line_no, code of the rejected: E010 if the id was taken by an earlier accepted record, else E011."""
-    taken = accepted_lines(rows, tail)
-    out = rows.join(taken, "line_no", "left_anti").select("line_no", "id")
-    owners = rows.join(taken, "line_no", "left_semi").select(F.col("id").alias("owner"), F.col("line_no").alias("owned_at"))
-    return out.join(owners, F.col("id") == F.col("owner"), "left").select("line_no", F.when(F.col("owned_at") < F.col("line_no"), "E010").otherwise("E011").alias("code"))
+def duplicates(rows: DataFrame, tail: int = TAIL, taken: DataFrame | None = None) -> DataFrame:
+    """line_no, code of the rejected: E010 if the id was taken by an earlier accepted record, else E011.
+
+    taken: id, print of records accepted before all of these. Who repeats one of those is out before the others meet, as
+    what is rejected reserves nothing."""
+    rows = rows.select("line_no", *_KEYS)
+    old = {key: F.lit(False) for key in _KEYS}
+    if taken is not None:
+        for key in _KEYS:
+            asked = rows.select(F.col(key).alias("k")).distinct()
+            known = taken.select(F.col(key).alias("k")).join(asked, "k", "left_semi").distinct().select(opaque("k").alias(f"old_{key}"))
+            rows = rows.join(known, F.col(key) == F.col(f"old_{key}"), "left")
+            old[key] = F.col(f"old_{key}").isNotNull()
+        rows = fixed(rows)
+    won = accepted_lines(rows.where(~old["id"] & ~old["print"]), tail)
+    out = rows.join(won, "line_no", "left_anti").select("line_no", "id", old["id"].alias("before"))
+    owners = rows.join(won, "line_no", "left_semi").select(opaque("id").alias("owner"), F.col("line_no").alias("owned_at"))
+    code = F.when(F.col("before") | (F.col("owned_at") < F.col("line_no")), "E010").otherwise("E011")
+    return out.join(owners, F.col("id") == F.col("owner"), "left").select("line_no", code.alias("code"))

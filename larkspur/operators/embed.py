@@ -7,7 +7,6 @@ import hashlib
 import time
 from collections.abc import Iterator
 from datetime import UTC, datetime
-from pathlib import Path
 from typing import Protocol
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..schema import CLEAN
 from ..sources.lines import numbered_lines
-from ..storage import file_sha256, fixed, write_json
+from ..storage import clean_up, file_sha256, fixed, is_file, make_dirs, scratch_tables, write_json
 
 
 class Embedder(Protocol):
@@ -27,6 +26,7 @@ class Embedder(Protocol):
     revision: str
     dim: int
     max_tokens: int
+    device: str
 
     def count_tokens(self, texts: list[str]) -> list[int]: ...
 
@@ -37,7 +37,7 @@ class HashingEmbedder:
     """Deterministic: each word adds a seeded unit vector; the sum has unit length. Tokens are words and two marks."""
 
     def __init__(self, dim: int = 384, max_tokens: int = 256, revision: str = "1"):
-        self.name, self.revision, self.dim, self.max_tokens = "hashing", revision, dim, max_tokens
+        self.name, self.revision, self.dim, self.max_tokens, self.device = "hashing", revision, dim, max_tokens, "cpu"
         self._vector = functools.lru_cache(50_000)(self._word)
 
     def __reduce__(self):
@@ -58,27 +58,47 @@ class HashingEmbedder:
         return out
 
 
-def load_embedder(name: str = "hashing", **settings) -> Embedder:
-    """By name; a sentence-transformers model where that library is installed."""
+def resolve_device(device: str | None = None) -> str:
+    """The device asked for, or the best that torch has here: cuda, mps, cpu."""
+    if device:
+        return device
+    try:
+        import torch
+    except ImportError:
+        return "cpu"
+    return "cuda" if torch.cuda.is_available() else "mps" if torch.backends.mps.is_available() else "cpu"
+
+
+def load_embedder(name: str = "hashing", device: str | None = None, revision: str | None = None, **settings) -> Embedder:
+    """By name; a sentence-transformers model, at a pinned revision, where that library is installed."""
     if name == "hashing":
-        return HashingEmbedder(**settings)
+        return HashingEmbedder(revision=revision or "1", **settings)
+    return TransformerEmbedder(name, revision or "", resolve_device(device))
+
+
+@functools.lru_cache(1)
+def _model(name: str, revision: str, device: str):
+    """Loaded once in each process that uses it."""
     try:
         from sentence_transformers import SentenceTransformer
     except ImportError as error:
         raise RuntimeError(f"model {name} needs the sentence-transformers library") from error
-    return _Transformer(name, SentenceTransformer(name, **settings))
+    return SentenceTransformer(name, revision=revision or None, device=device)
+
 
+class TransformerEmbedder:
+    """Goes to the workers by name; each loads the model itself."""
 
-class _Transformer:
-    def __init__(self, name: str, model):
-        self.name, self.revision, self.model = name, "", model
+    def __init__(self, name: str, revision: str, device: str):
+        self.name, self.revision, self.device = name, revision, device
+        model = _model(name, revision, device)
         self.dim, self.max_tokens = model.get_sentence_embedding_dimension(), model.max_seq_length
 
     def count_tokens(self, texts: list[str]) -> list[int]:
-        return [len(x) for x in self.model.tokenizer(texts, truncation=False)["input_ids"]]
+        return [len(x) for x in _model(self.name, self.revision, self.device).tokenizer(texts, truncation=False)["input_ids"]]
 
     def encode(self, texts: list[str], batch_size: int) -> np.ndarray:
-        return self.model.encode(texts, batch_size=batch_size, normalize_embeddings=True, convert_to_numpy=True)
+        return _model(self.name, self.revision, self.device).encode(texts, batch_size=batch_size, normalize_embeddings=True, convert_to_numpy=True)
 
 
 class TruncationError(RuntimeError):
@@ -106,6 +126,21 @@ def _vectors(embedder: Embedder, size: int, batches: Iterator[pa.RecordBatch]) -
         yield pa.RecordBatch.from_arrays([*batch.columns, flat], ["row", "ad_id", "text", "n_tokens", "vector"])
 
 
+def token_counts(rows: DataFrame, embedder: Embedder) -> DataFrame:
+    """row, ad_id, text with n_tokens."""
+    return rows.select("row", "ad_id", "text").mapInArrow(functools.partial(_counts, embedder), "row long, ad_id string, text string, n_tokens int")
+
+
+def too_long(counted: DataFrame, max_tokens: int, shown: int = 10) -> DataFrame:
+    """The first rows that the model would cut."""
+    return counted.where(F.col("n_tokens") > max_tokens).orderBy("row").limit(shown)
+
+
+def encoded(counted: DataFrame, embedder: Embedder, batch_size: int = 256) -> DataFrame:
+    """row, ad_id, text, n_tokens with vector."""
+    return counted.mapInArrow(functools.partial(_vectors, embedder, batch_size), "row long, ad_id string, text string, n_tokens int, vector array<float>")
+
+
 def token_stats(counted: DataFrame, max_tokens: int) -> DataFrame:
     """One row: p50, p99 (interpolated, cut to whole numbers), max, truncated; zeros for no rows."""
     p = F.percentile("n_tokens", F.array(F.lit(0.5), F.lit(0.99)))
@@ -135,28 +170,30 @@ def load_clean(spark: SparkSession, path: str, limit: int | None = None) -> Data
 
 def embed(spark: SparkSession, clean_path: str, out_dir: str, embedder: Embedder, *, batch_size: int = 256, allow_truncation: bool = False, limit: int | None = None) -> dict:
     """Writes embedded.parquet (row, ad_id, text, n_tokens, vector) and embed_manifest.json. The gate comes first."""
-    if not Path(clean_path).is_file():
+    if not is_file(spark, clean_path):
         raise FileNotFoundError(clean_path)
-    began, out = time.monotonic(), Path(out_dir)
-    out.mkdir(parents=True, exist_ok=True)
+    began, out, before = time.monotonic(), out_dir.rstrip("/"), scratch_tables()
+    make_dirs(spark, out)
     rows = load_clean(spark, clean_path, limit).select("row", "ad_id", compose_text(F.col("headline"), F.col("description")).alias("text"))
-    counted = fixed(rows.mapInArrow(functools.partial(_counts, embedder), "row long, ad_id string, text string, n_tokens int"))
+    counted = fixed(token_counts(rows, embedder))
     stats = token_stats(counted, embedder.max_tokens).first().asDict()
     if stats["truncated"] and not allow_truncation:
-        first = counted.where(F.col("n_tokens") > embedder.max_tokens).orderBy("row").limit(10).collect()
+        first = too_long(counted, embedder.max_tokens).collect()
         named = ", ".join(f"{r['ad_id']} ({r['n_tokens']})" for r in first)
         more = f" and {stats['truncated'] - len(first)} more" if stats["truncated"] > len(first) else ""
+        clean_up(before)
         raise TruncationError(f"{stats['truncated']} texts exceed {embedder.max_tokens} tokens: {named}{more}")
-    done = counted.mapInArrow(functools.partial(_vectors, embedder, batch_size), "row long, ad_id string, text string, n_tokens int, vector array<float>")
-    done.write.mode("overwrite").parquet(str(out / "embedded.parquet"))
+    encoded(counted, embedder, batch_size).write.mode("overwrite").parquet(f"{out}/embedded.parquet")
     ends = counted.agg(F.count(F.lit(1)).alias("n"), F.min_by("ad_id", "row").alias("a"), F.max_by("ad_id", "row").alias("z")).first()
+    clean_up(before)
     took = time.monotonic() - began
+    # Fixed names: the manifest's fields.
     manifest = dict(
         created_at=f"{datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}", model=embedder.name, revision=embedder.revision, dim=embedder.dim, max_tokens=embedder.max_tokens, normalized=True, count=ends["n"],
-        first_ad_id=ends["a"], last_ad_id=ends["z"], source_path=clean_path, source_sha256=file_sha256(clean_path), device="cpu", batch_size=batch_size, tokens=stats,
+        first_ad_id=ends["a"], last_ad_id=ends["z"], source_path=clean_path, source_sha256=file_sha256(spark, clean_path), device=embedder.device, batch_size=batch_size, tokens=stats,
         duration_seconds=round(took, 3), ads_per_second=round(ends["n"] / took, 1) if took else None,
     )
-    write_json(out / "embed_manifest.json", manifest)
+    write_json(spark, f"{out}/embed_manifest.json", manifest)
     return manifest
 
 

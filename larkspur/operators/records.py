@@ -23,7 +23,8 @@ def _read_line(line: str) -> tuple:
     empty = (None,) * 9 + ([], None)
     try:
         raw = json.loads(line)
-        json.dumps(raw, ensure_ascii=False).encode()  # a lone surrogate has no UTF-8 form
+        if "\\u" in line:
+            json.dumps(raw, ensure_ascii=False).encode()  # a lone surrogate has no UTF-8 form
     except (ValueError, RecursionError):
         return ("json", None, None, *empty)
     if not isinstance(raw, dict):

@@ -35,7 +35,7 @@ def build(accepted: DataFrame, rejects: DataFrame, limits: Limits, **facts) -> d
     by_code = {r["code"]: r["n"] for r in counts_by_code(rejects).collect()}
     warned = {r["warning"]: r["n"] for r in warning_counts(accepted).collect()}
     shown: dict[str, list] = {code: [] for code in by_code}
-    for r in examples(rejects, limits).orderBy("code", "rank").collect():
+    for r in sorted(examples(rejects, limits).collect(), key=lambda r: (r["code"], r["rank"])):
         shown[r["code"]].append({"line": r["line_no"], "detail": r["detail"], "excerpt": r["excerpt"]})
     good, bad = accepted.count(), sum(by_code.values())
     totals = {"read": good + bad, "accepted": good, "rejected": bad, "pass_rate": round(pass_rate(good + bad, good), 6)}

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CLEAN_COLUMNS, Limits
-from ..sources.lines import numbered_lines
-from ..storage import file_sha256, fixed, write_json
+from ..sources.lines import input_files, numbered_lines
+from ..storage import clean_up, file_sha256, fixed, is_file, make_dirs, scratch_tables, write_json, write_lines
 from . import report as reports
 from .dedup import duplicates
 from .records import judged
@@ -23,46 +22,57 @@ class GateError(RuntimeError):
 
 @dataclass
 class Validated:
-    accepted: DataFrame  # line_no, warnings and the clean columns
+    accepted: DataFrame  # line_no, warnings, the clean columns, and print (of the content)
     rejects: DataFrame  # line_no, code, detail, line
 
 
-def validate_lines(lines: DataFrame, limits: Limits = Limits()) -> Validated:
-    rows = fixed(judged(lines, limits))
-    passed = rows.where("verdict IS NULL").select("line_no", "line", "r.*")
-    twice = fixed(duplicates(passed.select("line_no", F.col("ad_id").alias("id"), F.sha2("folded", 256).alias("print"))))
-    named = F.when(F.col("code") == "E010", F.concat(F.lit("id seen before: "), "ad_id")).otherwise(F.concat(F.lit("same content as a record before, "), F.left(F.sha2("folded", 256), F.lit(12))))
+def validate_lines(lines: DataFrame, limits: Limits = Limits(), taken: DataFrame | None = None) -> Validated:
+    """lines: line_no, line. taken: id, print of records that were accepted before these."""
+    rows = fixed(judged(lines, limits).withColumn("print", F.when(F.col("verdict").isNull(), F.sha2("r.folded", 256))).withColumn("r", F.col("r").dropFields("folded")))
+    passed = rows.where("verdict IS NULL").select("line_no", "line", "r.*", "print")
+    twice = fixed(duplicates(passed.select("line_no", F.col("ad_id").alias("id"), "print"), taken=taken))
+    named = F.when(F.col("code") == "E010", F.concat(F.lit("id seen before: "), "ad_id")).otherwise(F.concat(F.lit("same content as a record before, "), F.left("print", F.lit(12))))
     repeated = passed.join(twice, "line_no").select("line_no", "code", named.alias("detail"), "line")
     rejects = rows.where("verdict IS NOT NULL").select("line_no", "verdict.code", "verdict.detail", "line").unionByName(repeated)
     good = passed.join(twice, "line_no", "left_anti").withColumnsRenamed({"bid": "bid_cpm_usd", "time": "created_at"})
-    return Validated(good.select("line_no", "warnings", *CLEAN_COLUMNS), rejects)
+    return Validated(good.select("line_no", "warnings", *CLEAN_COLUMNS, "print"), rejects)
 
 
-def _ordered_file(rows: DataFrame, column: str, path: Path) -> None:
-    """Lines in the order of line_no; rows come one partition at a time, so the driver's memory holds one."""
-    with open(path, "w", encoding="utf-8") as f:
-        for r in rows.orderBy("line_no").select(column).toLocalIterator(prefetchPartitions=True):
-            f.write(r[0] + "\n")
+def reject_lines(rejects: DataFrame) -> DataFrame:
+    """line_no, told: each reject as a line of JSON, with the record as it came (null if it isn't JSON)."""
+    payload = F.when(F.col("code") == "E001", F.lit("null")).otherwise(F.trim("line"))
+    head = F.regexp_replace(F.to_json(F.struct(F.col("line_no").alias("line"), "code", "detail")), r"\}$", "")
+    return rejects.select("line_no", F.concat(head, F.lit(',"record":'), payload, F.lit("}")).alias("told"))
+
 
+def clean_lines(accepted: DataFrame) -> DataFrame:
+    """line_no, told: each accepted record as a line of JSON."""
+    return accepted.select("line_no", F.to_json(F.struct(*CLEAN_COLUMNS)).alias("told"))
 
-def validate(spark: SparkSession, source: str, out_dir: str, *, limits: Limits = Limits(), limit: int | None = None, fail_under: float | None = None) -> dict:
-    """Writes ads_clean.jsonl, ads_rejected.jsonl (both in line order), the same as Parquet, and validation_report.json.
+
+def validate(spark: SparkSession, source: str, out_dir: str, *, limits: Limits = Limits(), limit: int | None = None, fail_under: float | None = None, ordered_files: bool = True) -> dict:
+    """Writes clean.parquet and rejected.parquet in parallel, validation_report.json, and, unless ``ordered_files`` is
+    false, ads_clean.jsonl and ads_rejected.jsonl, single files in line order. ``source``: a file, or a folder or pattern
+    of several, whose lines are numbered in the order of their names.
 
     Raises FileNotFoundError without input, GateError below ``fail_under`` after everything is written."""
-    if not Path(source).is_file():
+    if not is_file(spark, source) and not input_files(spark, source):
         raise FileNotFoundError(source)
-    began, out = time.monotonic(), Path(out_dir)
-    out.mkdir(parents=True, exist_ok=True)
+    began, out, before = time.monotonic(), out_dir.rstrip("/"), scratch_tables()
+    make_dirs(spark, out)
     done = validate_lines(numbered_lines(spark, source, limit), limits)
-    accepted, rejects = fixed(done.accepted), fixed(done.rejects)
-    payload = F.when(F.col("code") == "E001", F.lit("null")).otherwise(F.trim("line"))
-    told = F.concat(F.regexp_replace(F.to_json(F.struct(F.col("line_no").alias("line"), "code", "detail")), r"\}$", ""), F.lit(',"record":'), payload, F.lit("}"))
-    accepted.write.mode("overwrite").parquet(str(out / "clean.parquet"))
-    rejects.write.mode("overwrite").parquet(str(out / "rejected.parquet"))
-    _ordered_file(accepted.withColumn("j", F.to_json(F.struct(*CLEAN_COLUMNS))), "j", out / "ads_clean.jsonl")
-    _ordered_file(rejects.withColumn("j", told), "j", out / "ads_rejected.jsonl")
-    report = reports.build(accepted, rejects, limits, input_path=source, input_sha256=file_sha256(source), config=limits.config() | {"limit": limit}, duration_seconds=round(time.monotonic() - began, 3))
-    write_json(out / "validation_report.json", report)
+    done.accepted.drop("print").write.mode("overwrite").parquet(f"{out}/clean.parquet")
+    done.rejects.write.mode("overwrite").parquet(f"{out}/rejected.parquet")
+    accepted = spark.read.schema(done.accepted.drop("print").schema).parquet(f"{out}/clean.parquet")
+    rejects = spark.read.schema(done.rejects.schema).parquet(f"{out}/rejected.parquet")
+    clean_up(before)
+    if ordered_files:
+        write_lines(clean_lines(accepted), "line_no", "told", f"{out}/ads_clean.jsonl")
+        write_lines(reject_lines(rejects), "line_no", "told", f"{out}/ads_rejected.jsonl")
+    files = input_files(spark, source)
+    digest = file_sha256(spark, files[0]) if len(files) == 1 else None
+    report = reports.build(accepted, rejects, limits, input_path=source, input_sha256=digest, config=limits.config() | {"limit": limit}, duration_seconds=round(time.monotonic() - began, 3))
+    write_json(spark, f"{out}/validation_report.json", report)
     totals = report["totals"]
     if fail_under is not None and reports.pass_rate(totals["read"], totals["accepted"]) < fail_under:
         raise GateError(f"pass rate {totals['pass_rate']:.4f} is below {fail_under}")

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TOLERANCE = 1e-3
-#: Rows of queries that go out at once: with vectors of 1,024 floats, 8 MB.
+#: A default: rows of queries that go out at once; with vectors of 1,024 floats, 8 MB.
 QUERIES_AT_ONCE = 2048
 #: Rows of a block, and of a group of blocks that meet in one cell of the grid.
 BLOCK, ROWS_IN_CELL = 1024, 65_536
@@ -96,18 +96,30 @@ def _blockwise(bundle: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return met.select("numbers", "flat", "ids", "q", "dim").mapInArrow(partial(_score_blocks, k), "query_id long, row long, score double")
 
 
-def search(bundle: DataFrame, queries: DataFrame, k: int, row: str = "row", vector: str = "vector") -> DataFrame:
+def _demand_fit(asked: DataFrame, dim: int | None) -> None:
+    """dim: of all vectors; None if they differ, -1 for no vectors."""
+    if dim is None:
+        raise ValueError("the vectors have more than one dimension")
+    if dim >= 0 and (bad := asked.where(bad_component(F.col("v")) | (F.size("v") != dim) | F.col("v").isNull()).limit(1).collect()):
+        raise ValueError(f"query {bad[0]['query_id']} holds a component that isn't finite, or hasn't {dim} of them")
+
+
+def search(bundle: DataFrame, queries: DataFrame, k: int, row: str = "row", vector: str = "vector", at_once: int | None = None) -> DataFrame:
     """query_id, rank, row, score for each query (query_id, vector); scores in double precision, ties to the smaller row.
 
-    Up to ``QUERIES_AT_ONCE`` queries go out to where the vectors lie: each Arrow batch of vectors is one matrix product
-    and keeps k rows a query. More of them meet the vectors in blocks, and none comes to the driver."""
-    spark = bundle.sparkSession
+    Up to ``at_once`` queries (``QUERIES_AT_ONCE``, where it isn't given) go out to where the vectors lie: each Arrow batch
+    of vectors is one matrix product and keeps k rows a query. More of them meet the vectors in blocks, and none comes to
+    the driver; 0 makes that the only way. Both give the same rows. ValueError for a query that isn't finite or of the
+    vectors' dimension."""
+    spark, at_once = bundle.sparkSession, QUERIES_AT_ONCE if at_once is None else at_once
     rows = bundle.select(F.col(row).cast("long").alias("row"), F.col(vector).cast("array<float>").alias("v"))
     asked = queries.select(F.col("query_id").cast("long"), F.col(next(c for c in queries.columns if c != "query_id")).cast("array<double>").alias("v"))
-    few = asked.limit(QUERIES_AT_ONCE + 1).collect()
+    few = asked.limit(at_once + 1).collect()
     if not few or k < 1:
         return spark.createDataFrame([], "query_id long, rank int, row long, score double")
-    if len(few) > QUERIES_AT_ONCE:
+    dims = rows.select(F.size("v").alias("d")).distinct().limit(2).collect()
+    _demand_fit(asked, dims[0]["d"] if len(dims) == 1 else None if dims else -1)
+    if len(few) > at_once:
         found = _blockwise(rows, asked, k)
     else:
         found = rows.mapInArrow(partial(_score, [(r[0], list(r[1])) for r in few], k), "query_id long, row long, score double")

@@ -9,7 +9,8 @@ CLEAN_COLUMNS = tuple(c.split()[0] for c in CLEAN.split(", "))
 REQUIRED = tuple(c for c in CLEAN_COLUMNS if c != "description")
 #: Text fields in the order in which a wrong type is looked for; the bid is read by its own rules.
 TEXT_FIELDS = ("ad_id", "headline", "category", "advertiser_id", "created_at", "description")
-CATEGORIES = frozenset("beauty education electronics apparel travel finance fitness food_delivery footwear gaming home_kitchen pet_supplies".split())
+# The taxonomy of records.
+CATEGORIES = frozenset("apparel beauty education electronics finance fitness food_delivery footwear gaming home_kitchen pet_supplies travel".split())
 
 FATAL = {
     "E001": "line is not JSON", "E002": "field missing or null", "E003": "wrong type", "E004": "no text left after cleaning", "E005": "headline too short", "E006": "text too long",

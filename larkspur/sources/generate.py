@@ -7,14 +7,12 @@ texts come from a clean row before, which is found by range: the nearest one bel
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import CATEGORIES, CLEAN_COLUMNS
-from ..storage import fixed, write_json
+from ..storage import fixed, make_dirs, write_json, write_lines
 
 #: Parts per thousand of all rows; repeats are dealt first and need rows before them.
 RATES = {"E010": 15, "E011": 10, "E001": 3, "E002": 15, "E003": 8, "E004": 5, "E005": 10, "E006": 8, "E007": 6, "E008": 20, "E009": 10, "E012": 6}
@@ -130,13 +128,11 @@ def raw_lines(spark: SparkSession, count: int, seed: int, now: str = "2026-01-01
 def generate(spark: SparkSession, count: int, seed: int, out: str) -> dict:
     """Writes ads_raw.jsonl in row order and expected_defects.json beside it."""
     lines, chosen = raw_lines(spark, count, seed)
-    path = Path(out)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        for r in lines.orderBy("i").select("line").toLocalIterator(prefetchPartitions=True):
-            f.write(r[0] + "\n")
+    folder = out.rpartition("/")[0] or "."
+    make_dirs(spark, folder)
+    write_lines(lines, "i", "line", out)
     by_code = {r["defect"]: r["n"] for r in chosen.where("defect IS NOT NULL").groupBy("defect").agg(F.count(F.lit(1)).alias("n")).orderBy("defect").collect()}
     bad = sum(by_code.values())
     told = {"seed": seed, "count": count, "expected_rejections_by_code": by_code, "expected_rejected_total": bad, "expected_accepted_total": count - bad, "noised_records": chosen.where("noised").count()}
-    write_json(path.with_name("expected_defects.json"), told)
+    write_json(spark, f"{folder}/expected_defects.json", told)
     return told

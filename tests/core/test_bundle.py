@@ -1,3 +1,4 @@
+import hashlib
 import json
 import shutil
 
@@ -9,7 +10,6 @@ from larkspur.operators import bundle as B
 from larkspur.operators import embed as E
 from larkspur.operators import evaluate, vectors
 from larkspur.schema import CLEAN_COLUMNS
-from larkspur.storage import file_sha256
 
 
 class Small(E.HashingEmbedder):
@@ -69,13 +69,13 @@ def test_round_trip(spark, stage):
 
 
 def change(folder, edit, signed=True):
-    at = B.latest(folder / "root")
+    at = folder / "root" / (folder / "root/LATEST").read_text().strip()
     m = json.loads((at / "manifest.json").read_text())
     edit(at, m)
     if signed:
         for part in ("vectors", "ads"):
             if (at / str(m[part]["file"])).is_file():
-                m[part]["sha256"] = file_sha256(at / m[part]["file"]) if m[part]["sha256"] == "new" else m[part]["sha256"]
+                m[part]["sha256"] = hashlib.sha256((at / m[part]["file"]).read_bytes()).hexdigest() if m[part]["sha256"] == "new" else m[part]["sha256"]
     (at / "manifest.json").write_text(json.dumps(m))
 
 
@@ -107,18 +107,22 @@ def lines(f):
     return edit
 
 
-def flip(at, _):
-    raw = bytearray((at / "vectors.f32").read_bytes())
-    raw[0] ^= 1
-    (at / "vectors.f32").write_bytes(raw)
+def flip(byte, bit):
+    def edit(at, _):
+        raw = bytearray((at / "vectors.f32").read_bytes())
+        raw[byte] ^= 1 << bit
+        (at / "vectors.f32").write_bytes(raw)
+
+    return edit
 
 
 FAULTS = [
     (put("vectors", "byte_order", value="big"), B.ManifestError), (put("model", "normalized", value=False), B.ManifestError), (put("model", "dim", value=9), B.ManifestError), (put("ads", "count", value=19), B.ManifestError),
     (put("vectors", "bytes", value=1), B.ManifestError), (put("vectors", "file", value="../x"), B.ManifestError), (put("format_version", value=2), B.ManifestError), (put("vectors", "sha256", value=""), B.ManifestError),
     (lambda at, m: m.pop("model"), B.ManifestError), (lambda at, m: (at / "vectors.f32").write_bytes(b"123"), B.VectorsError), (vector(3, np.nan), B.VectorsError), (vector(4, np.inf), B.VectorsError), (vector(5, 0), B.VectorsError), (vector(6, 1), B.VectorsError),
-    (flip, B.ChecksumError), (put("ads", "sha256", value="0" * 64), B.ChecksumError), (lines(lambda x: [x[1], x[0], *x[2:]]), B.AdsError), (lines(lambda x: [x[0].replace('"row":0,', ""), *x[1:]]), B.AdsError),
+    *[(flip(byte, bit), B.ChecksumError) for byte, bit in ((0, 0), (36, 3), (37, 1), (38, 6), (39, 7))], (put("ads", "sha256", value="0" * 64), B.ChecksumError), (lines(lambda x: [x[1], x[0], *x[2:]]), B.AdsError), (lines(lambda x: [x[0].replace('"row":0,', ""), *x[1:]]), B.AdsError),
     (lines(lambda x: [x[0], x[1].replace("ad_00001", "ad_00000"), *x[2:]]), B.AdsError), (lines(lambda x: [x[0].replace("ad_00000", ""), *x[1:]]), B.AdsError), (lines(lambda x: x[:-1]), B.AdsError), (lines(lambda x: ["{", *x[1:]]), B.AdsError),
+    (lines(lambda x: [x[0].replace("Text 0", "é" * 600_000), *x[1:]]), B.AdsError),
 ]
 
 
@@ -177,20 +181,41 @@ def test_probe(spark, stage):
     loaded = B.load(spark, str(stage[0] / "root"))
     hits, rate = evaluate.probe(loaded, Small(), [("record 3", "gaming"), ("record", None)], 5)
     assert hits.count() == 10 and rate == 1.0
-    evaluate.write_ground_truth(loaded, hits, [("record 3", "gaming"), ("record", None)], 5, str(stage[0] / "truth.json"))
-    assert len(json.loads((stage[0] / "truth.json").read_text())["queries"][0]["top_k"]) == 5
-
-
-@pytest.mark.parametrize("at_once", [2048, 5])
+    path = stage[0] / "truth.json"
+    evaluate.write_ground_truth(loaded, Small(), hits, [("record 3", "gaming"), ("record", None)], 5, str(path))
+    told = json.loads(path.read_text())
+    assert len(told["queries"][0]["top_k"]) == 5 and told["bundle_version"] == loaded.version and len(told["queries"][1]["vector"]) == 8
+    assert evaluate.replay(loaded, str(path)).collect() == []
+
+    def faults(edit):
+        new = json.loads(json.dumps(told))
+        edit(new["queries"][0]["top_k"])
+        (stage[0] / "edited.json").write_text(json.dumps(new))
+        return sorted((r["query_id"], r["at"], r["fault"]) for r in evaluate.replay(loaded, str(stage[0] / "edited.json")).collect())
+
+    assert faults(lambda t: t[1].update(score=t[1]["score"] + 0.01)) == [(0, 2, "score")]
+    assert faults(lambda t: t[0].update(ad_id="ad_00019x")) == [(0, 1, "ad_id")]
+    other = next(i for i in range(20) if i not in [t["row"] for t in told["queries"][0]["top_k"]])
+    assert faults(lambda t: t[4].update(row=other, ad_id=f"ad_{other:05d}")) == []  # it scores below the last hit: only its score would tell
+    assert faults(lambda t: t.extend([t[0]] * 30)) [-1] == (0, 0, "count") or faults(lambda t: t.extend([t[0]] * 30))[0] == (0, 0, "count")
+    for change in ({"bundle_version": "x"}, {"vectors_sha256": "x"}, {"queries": []}):
+        (stage[0] / "stale.json").write_text(json.dumps(told | change))
+        with pytest.raises(evaluate.StaleError):
+            evaluate.replay(loaded, str(stage[0] / "stale.json"))
+
+
+@pytest.mark.parametrize("at_once", [2048, 5, 0])
 def test_search_by_broadcast_and_by_blocks(spark, monkeypatch, at_once):
-    monkeypatch.setattr(vectors, "QUERIES_AT_ONCE", at_once)
     monkeypatch.setattr(vectors, "BLOCK", 7)
     monkeypatch.setattr(vectors, "ROWS_IN_CELL", 12)
     x = np.random.default_rng(2).normal(size=(90, 6)).astype("f4")
     x[40] = x[3]
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row long, vector array<float>").repartition(4)
     asked = rows.where("row < 30").withColumnRenamed("row", "query_id")
-    got = sorted(map(tuple, vectors.search(rows, asked, 4).select("query_id", "rank", "row").collect()))
+    got = sorted(map(tuple, vectors.search(rows, asked, 4, at_once=at_once).select("query_id", "rank", "row").collect()))
     scores = x[:30].astype(float) @ x.astype(float).T
     assert got == [(q, n + 1, r) for q in range(30) for n, r in enumerate(sorted(range(90), key=lambda i: (-scores[q, i], i))[:4])]
+    for bad in ([1.0], [float("nan")] * 6, [None] * 6):
+        with pytest.raises(ValueError):
+            vectors.search(rows, spark.createDataFrame([(1, bad)], "query_id long, vector array<double>"), 4, at_once=at_once)
     assert vectors.search(rows, asked.limit(0), 4).collect() == [] and vectors.search(rows, asked, 0).collect() == []

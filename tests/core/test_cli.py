@@ -19,5 +19,9 @@ def test_stages_in_order_and_their_exit_codes(spark, tmp_path, capsys):
     capsys.readouterr()
     assert cli.main(["probe", "--published", root, "--k", "2", "--query", "sturdy boots", "--dump-ground-truth", str(tmp_path / "truth.json")]) == 0
     assert "precision" in capsys.readouterr().out and len(json.loads((tmp_path / "truth.json").read_text())["queries"][0]["top_k"]) == 2
+    assert cli.main(["loadcheck", "--root", root, "--ground-truth", str(tmp_path / "truth.json")]) == 0
+    stale = json.loads((tmp_path / "truth.json").read_text()) | {"bundle_version": "other"}
+    (tmp_path / "stale.json").write_text(json.dumps(stale))
+    assert cli.main(["loadcheck", "--root", root, "--ground-truth", str(tmp_path / "stale.json")]) == 1
     assert cli.main(["probe", "--published", str(tmp_path / "nowhere")]) == 2
     assert cli.main(["loadcheck", "--root", str(tmp_path)]) == 2

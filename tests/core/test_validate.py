@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from larkspur import cli
 from larkspur.operators import dedup, report
 from larkspur.operators.records import judged
-from larkspur.operators.validate import GateError, validate
+from larkspur.operators.validate import GateError, validate, validate_lines
 from larkspur.schema import FATAL, Limits
 from larkspur.sources.generate import generate
 from larkspur.sources.lines import numbered_lines
+from larkspur.streaming.ingest import judge_batch
 
 GOOD = {"ad_id": "a1", "headline": "Warm gloves for the winter", "description": "Wool inside.", "category": "apparel", "advertiser_id": "v1", "bid_cpm_usd": 2.5, "created_at": "2026-02-01T10:00:00Z"}
 
@@ -128,6 +129,35 @@ def test_dedup_equals_the_loop(spark, seed, tail):
     assert {r[0]: r[1] for r in dedup.duplicates(df, tail).collect()} == loop(rows)
 
 
+def test_dedup_of_a_hot_id(spark):
+    rows = [(n, "hot" if n % 10 else f"i{n}", f"p{n % 700}") for n in range(3000)]
+    df = spark.createDataFrame(rows, "line_no long, id string, print string").repartition(5)
+    assert {r[0]: r[1] for r in dedup.duplicates(df, 0).collect()} == loop(rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_any_split_into_batches_equals_one_file(spark, tmp_path, seed):
+    """Ids and contents repeat across batches; what is rejected reserves nothing."""
+    rng = random.Random(seed)
+    rows = [(n, line(ad_id=f"i{rng.randrange(12)}", headline=f"A headline, number {rng.randrange(12)}", bid_cpm_usd=rng.choice([1, 99]))) for n in range(60)]
+    frame = lambda part: spark.createDataFrame(part, "line_no long, line string")
+    whole = validate_lines(frame(rows))
+    cuts = sorted(rng.sample(range(1, 60), 3))
+    parts = [judge_batch(frame(rows[a:b]), n, str(tmp_path)) for n, (a, b) in enumerate(zip([0, *cuts], [*cuts, 60], strict=True))]
+    accepted = sorted(r["line_no"] for p in parts for r in p.accepted.collect())
+    assert accepted == sorted(r["line_no"] for r in whole.accepted.collect())
+    codes = sorted((r["line_no"], r["code"]) for p in parts for r in p.rejects.collect())
+    assert codes == sorted((r["line_no"], r["code"]) for r in whole.rejects.collect())
+    again = judge_batch(frame(rows[: cuts[0]]), 0, str(tmp_path))  # a batch that is run again sees only those before it
+    assert sorted(r["line_no"] for r in again.accepted.collect()) == [n for n in accepted if n < cuts[0]]
+
+
+def test_several_files_are_numbered_through(spark, tmp_path):
+    for name, text in (("b", "3\n\n5\n"), ("a", "1\n2\n")):
+        (tmp_path / name).write_text(text)
+    assert sorted(map(tuple, numbered_lines(spark, str(tmp_path)).collect())) == [(1, "1"), (2, "2"), (3, "3"), (4, ""), (5, "5")]
+
+
 def test_dedup_chain(spark):
     rows = [(1, "i1", "c1"), (2, "i2", "c1"), (3, "i2", "c3")]
     df = spark.createDataFrame(rows, "line_no long, id string, print string")
