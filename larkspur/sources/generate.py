@@ -18,8 +18,15 @@ from ..storage import fixed, make_dirs, write_json, write_lines
 RATES = {"E010": 15, "E011": 10, "E001": 3, "E002": 15, "E003": 8, "E004": 5, "E005": 10, "E006": 8, "E007": 6, "E008": 20, "E009": 10, "E012": 6}
 NOISE = 150
 FIRST_REPEAT = 100
-_MAKERS = "Alderon Brisk Cobalt Dunmore Elmstead Farrow Glint Harlow".split()
-_GOODS = "starter bundle|daily set|weekend pack|compact kit|classic range|pro line|family box|studio series|travel case|core plan".split("|")
+#: For each category its makers and goods.
+_GOODS = {
+    "apparel": ("Nettle Loom|Holt & Vane|Quillon", "wool scarf|linen shirt|rain jacket|work trousers|cotton socks"), "beauty": ("Myrica|Sable Fern|Dewlight", "face balm|hair oil|clay mask|hand soap|lip tint"),
+    "education": ("Tallow Desk|Brightstep|Polyglot House", "grammar course|coding class|exam guide|drawing lessons|history lectures"), "electronics": ("Voltaire Works|Kestrel Audio|Ohmic", "wireless headset|desk speaker|travel charger|tablet stand|smart lamp"),
+    "finance": ("Harrow Bank|Pennywell|Keel Savings", "savings account|travel card|budget planner|home loan|pension plan"), "fitness": ("Ironleaf|Stride Lab|Marrow", "adjustable weights|yoga mat|rowing plan|jump rope|foam roller"),
+    "food_delivery": ("Soup Courier|Basil Run|Lunchwise", "dinner box|noodle menu|breakfast plan|salad kit|family feast"), "footwear": ("Cobblegate|Strand & Sole|Fellmark", "hiking boots|trail shoes|canvas sneakers|winter clogs|running shoes"),
+    "gaming": ("Pixel Moor|Ninth Level|Gambit Forge", "strategy game|racing wheel|puzzle pack|game pad|card battler"), "home_kitchen": ("Copperpot|Larder & Co|Ember Range", "iron pan|bread knife|storage jars|stand mixer|tea kettle"),
+    "pet_supplies": ("Wagtail|Burrow Pets|Otter & Ash", "cat food|dog harness|bird feeder|litter box|fish flakes"), "travel": ("Farlane|Gullwing Tours|Pathfinder Stays", "autumn flights|city breaks|rail passes|island ferries|cabin bags"),
+}
 _HOOKS = "Made to last for years|Loved by thousands of people|Simple to begin with|Built with care and tested twice|Ready when you are|Fair prices all year".split("|")
 _LOOKS = "Fresh Bold Calm Bright Sturdy Quiet Quick Fine Warm Clever".split()
 _DEALS = "two for one|free delivery|ten percent off|a month on us|new this week|while stocks last|members first|order today".split("|")
@@ -33,6 +40,14 @@ def _pick(options: list[str], tag: str, seed: int) -> Column:
     return F.element_at(F.array(*map(F.lit, options)), (F.pmod(_h(tag, seed), F.lit(len(options))) + 1).cast("int"))
 
 
+def _of_category(at: int, tag: str, seed: int) -> Column:
+    """A maker (0) or goods (1) of the row's own category."""
+    out, category = F, F.pmod(_h("category", seed), F.lit(len(CATEGORIES)))
+    for n, name in enumerate(sorted(CATEGORIES)):
+        out = out.when(category == n, _pick(_GOODS[name][at].split("|"), tag, seed))
+    return out
+
+
 def _unit(tag: str, seed: int) -> Column:
     """In (0, 1)."""
     return (F.pmod(_h(tag, seed), F.lit(1 << 40)) + 0.5) / float(1 << 40)
@@ -41,16 +56,20 @@ def _unit(tag: str, seed: int) -> Column:
 def base_records(spark: SparkSession, count: int, seed: int, now: str = "2026-01-01T00:00:00Z") -> DataFrame:
     """i and the clean columns; headlines are told apart by the row's number."""
     rows = spark.range(count).withColumnRenamed("id", "i")
-    maker, goods, look, deal, category = (_pick(o, t, seed) for o, t in ((_MAKERS, "maker"), (_GOODS, "goods"), (_LOOKS, "look"), (_DEALS, "deal"), (sorted(CATEGORIES), "category")))
+    look, deal, category, hook = (_pick(o, t, seed) for o, t in ((_LOOKS, "look"), (_DEALS, "deal"), (sorted(CATEGORIES), "category"), (_HOOKS, "hook")))
+    maker, goods = (_of_category(at, t, seed) for at, t in ((0, "maker"), (1, "goods")))
     tail = F.concat(F.lit(" no. "), F.col("i") + 1)
-    forms = [F.concat(look, F.lit(" "), goods, F.lit(" by "), maker, tail), F.concat(maker, F.lit(" "), goods, F.lit(": "), deal, tail), F.concat(look, F.lit(" "), maker, F.lit(" "), goods, F.lit(", "), deal, tail)]
-    form = F.pmod(_h("form", seed), F.lit(len(forms)))
-    headline = F.when(form == 0, forms[0]).when(form == 1, forms[1]).otherwise(forms[2])
+    join = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts), tail)
+    forms = [
+        join(look, " ", goods, " by ", maker), join(maker, " ", goods, ": ", deal), join(look, " ", maker, " ", goods, ", ", deal),
+        join(goods, " from ", maker, ". ", hook), join(hook, ": ", maker, " ", goods), join(deal, " on ", look, " ", goods, " by ", maker),
+    ]
+    headline = F.get(F.array(*forms), F.pmod(_h("form", seed), F.lit(len(forms))).cast("int"))
     gauss = F.sqrt(-2 * F.log(_unit("g1", seed))) * F.cos(2 * F.pi() * _unit("g2", seed))
     age = (F.pow(_unit("age", seed), 2) * 180 * 86400).cast("long")
     return rows.select(
-        "i", F.format_string("ad_%07d", "i").alias("ad_id"), headline.alias("headline"), F.concat(_pick(_HOOKS, "hook", seed), F.lit(". "), F.initcap(deal), F.lit(".")).alias("description"), category.alias("category"),
-        F.format_string("adv_%04d", F.pmod(_h("adv", seed), F.lit(500))).alias("advertiser_id"), F.round(F.least(F.exp(0.9 + 0.6 * gauss), F.lit(45.0)), 2).alias("bid_cpm_usd"),
+        "i", F.format_string("ad_%07d", "i").alias("ad_id"), headline.alias("headline"), F.concat(_pick(_HOOKS, "hook2", seed), F.lit(". "), F.initcap(goods), F.lit(" of "), maker, F.lit(". "), F.initcap(deal), F.lit(".")).alias("description"), category.alias("category"),
+        F.format_string("adv_%04d", F.pmod(_h("adv", seed), F.lit(400)) + 1).alias("advertiser_id"), F.round(F.least(F.exp(0.9 + 0.6 * gauss), F.lit(45.0)), 2).alias("bid_cpm_usd"),
         F.date_format(F.timestamp_seconds(F.unix_timestamp(F.to_timestamp(F.lit(now))) - age), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
     )
 
@@ -96,32 +115,48 @@ def raw_lines(spark: SparkSession, count: int, seed: int, now: str = "2026-01-01
     old = rows.select(F.col("i").alias("j"), F.col("ad_id").alias("old_id"), F.col("headline").alias("old_headline"), F.col("description").alias("old_description"))
     chosen = fixed(chosen.join(source, "i", "left").withColumn("defect", F.when(F.col("defect").isin("E010", "E011") & F.col("j").isNull(), None).otherwise(F.col("defect"))))
     r = rows.join(chosen, "i").join(old, "j", "left")
-    one = F.pmod(_h("kind", seed), F.lit(4))
+    kind = lambda n: F.pmod(_h("kind", seed), F.lit(n))
     is_ = lambda code: F.col("defect") == code
-    quoted = lambda c: F.to_json(F.array(F.col(c).cast("string")))
-    text = {c: F.regexp_replace(quoted(c), r"^\[|\]$", "") for c in CLEAN_COLUMNS if c != "bid_cpm_usd"}
+    noise = lambda n: F.col("noised") & (kind(5) == n)
     as_text = lambda value: F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", "")
-    long_ = lambda c, n: F.substring(F.repeat(F.concat(F.col(c), F.lit(" ")), n), 1, 4 * n * 10)
-    text["ad_id"] = F.when(is_("E010"), as_text(F.col("old_id"))).otherwise(text["ad_id"])
-    text["headline"] = (
-        F.when(is_("E011"), as_text(F.col("old_headline"))).when(is_("E004"), F.when(one < 2, F.lit('"   "')).otherwise(F.lit('"&nbsp;"'))).when(is_("E005"), F.lit('"Deal"'))
-        .when(is_("E006") & (one < 2), as_text(long_("headline", 6))).when(is_("E003") & (one < 2), F.concat(F.lit("["), text["headline"], F.lit("]")))
-        .when(F.col("noised") & (one == 0), as_text(F.concat(F.lit("<b>"), F.col("headline"), F.lit("</b>")))).when(F.col("noised") & (one == 1), as_text(F.concat(F.lit("  "), F.col("headline"), F.lit(" ")))).otherwise(text["headline"])
-    )
-    text["description"] = (
-        F.when(is_("E011"), as_text(F.col("old_description"))).when(is_("E006") & (one >= 2), as_text(F.repeat(F.concat(F.col("description"), F.lit(" ")), 60))).otherwise(text["description"])
-    )
-    text["category"] = F.when(is_("E009"), as_text(_pick(["misc", "other", "toys", "n/a", ""], "bad", seed))).when(is_("E002") & (one < 2), F.lit("null")).when(is_("E003") & (one == 2), F.lit("7")).otherwise(text["category"])
-    text["advertiser_id"] = F.when(is_("E002") & (one == 2), F.lit("null")).when(is_("E003") & (one == 3), F.lit('{"id": 1}')).otherwise(text["advertiser_id"])
-    text["created_at"] = F.when(is_("E012"), as_text(_pick(["yesterday", "03/14/2026", "2026-13-01", "soon", ""], "when", seed))).when(is_("E002") & (one == 3), F.lit("null")).otherwise(text["created_at"])
+    some = lambda tag, *options: as_text(_pick(list(options), tag, seed))
+    past = lambda c, most: F.repeat(F.concat(F.col(c), F.lit(" ")), (F.lit(most) / F.length(c)).cast("int") + 2)
+    text = {c: as_text(F.col(c)) for c in CLEAN_COLUMNS if c != "bid_cpm_usd"} | {"bid_cpm_usd": F.col("bid_cpm_usd").cast("string")}
+    wrong = {0: ("headline", '["Warm", "socks"]'), 1: ("category", "7"), 2: ("advertiser_id", '{"id": 1}'), 3: ("created_at", "1780000000")}
+    lost = dict(enumerate(("headline", "category", "bid_cpm_usd", "advertiser_id", "created_at")))  # each is dropped or null
     bid = F.col("bid_cpm_usd")
-    text["bid_cpm_usd"] = (
-        F.when(is_("E007"), F.when(one < 2, F.lit('"call us"')).otherwise(F.lit("[1]"))).when(is_("E008"), F.when(one == 0, F.lit("0")).when(one == 1, F.lit("-1.5")).otherwise((bid * 100 + 100).cast("string")))
-        .when(F.col("noised") & (one == 2), F.concat(F.lit('"$'), bid.cast("string"), F.lit('"'))).otherwise(bid.cast("string"))
-    )
-    body = F.concat_ws(", ", *(F.when(~(F.col("noised") & (one == 3) & F.lit(c == "description")), F.concat(F.lit(f'"{c}": '), text[c])) for c in CLEAN_COLUMNS))
-    line = F.concat(F.lit("{"), body, F.lit("}"))
-    line = F.when(is_("E001"), F.substring(line, 1, 40)).otherwise(line)
+    far = {0: -F.round(0.5 + 8.5 * _unit("far", seed), 2), 1: F.lit(0.0), 2: F.round(100 + 800 * _unit("far", seed)), 3: F.round(60 + 4940 * _unit("far", seed), 2)}
+    cases = {
+        "ad_id": [(is_("E010"), as_text(F.col("old_id")))],
+        "headline": [
+            (is_("E011"), as_text(F.col("old_headline"))), (is_("E004"), some("empty", "   ", "\t\n ", "<b></b>", "&nbsp;")), (is_("E005"), some("short", "Deal", "Half off", "Sale!", "New in", "Buy")),
+            (is_("E006") & (kind(2) == 0), as_text(past("headline", 120))), (noise(0), as_text(F.concat(F.lit("<b>"), F.col("headline"), F.lit("</b>")))), (noise(1), as_text(F.concat(F.lit("  "), F.col("headline"), F.lit(" \n\t ")))),
+            (noise(2), as_text(F.regexp_replace("headline", "^([^ ]*) ", "$1\u200b "))),
+        ],
+        "description": [(is_("E011"), as_text(F.col("old_description"))), (is_("E006") & (kind(2) == 1), as_text(past("description", 1000)))],
+        "category": [(is_("E009"), some("bad", "misc", "other", "toys", "n/a", "cars", "garden", "unknown", ""))],
+        "created_at": [(is_("E012"), some("when", "yesterday", "03/14/2026", "2026-13-01T00:00:00Z", "March 14 2026", ""))],
+        "bid_cpm_usd": [
+            (is_("E007"), F.when(kind(6) == 0, F.lit("[1]")).otherwise(some("bid", "call us", "N/A", "unset", "--", "auto"))), *((is_("E008") & (kind(4) == n), x.cast("string")) for n, x in far.items()),
+            (noise(3), F.concat(F.lit('"$'), F.format_string("%.2f", bid), F.lit('"'))),
+        ],
+    }
+    for n, (field, value) in wrong.items():
+        cases.setdefault(field, []).append((is_("E003") & (kind(4) == n), F.lit(value)))
+    for n, field in lost.items():
+        cases.setdefault(field, []).append((is_("E002") & (kind(10) == n), F.lit("null")))
+    parts = []
+    for c in CLEAN_COLUMNS:
+        value = F
+        for when, then in cases.get(c, []):
+            value = value.when(when, then)
+        value = value.otherwise(text[c]) if cases.get(c) else text[c]
+        gone = noise(4) if c == "description" else F.lit(False)
+        for n, field in lost.items():
+            gone = gone | (is_("E002") & (kind(10) == n + 5)) if field == c else gone
+        parts.append(F.when(~F.coalesce(gone, F.lit(False)), F.concat(F.lit(f'"{c}": '), value)))
+    line = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    line = F.when(is_("E001"), F.left(line, 20 + F.pmod(_h("cut", seed), F.lit(41)).cast("int"))).otherwise(line)
     return r.select("i", line.alias("line")), chosen.select("i", "defect", "noised")
 
 
