@@ -53,10 +53,10 @@ def decode_basic_entities(text: Column) -> Column:
 def clean_one(text: str) -> tuple[str, list[str]]:
     """Cleaned text and the codes of the steps that changed it, in the order of the steps."""
     codes = []
-    now = unicodedata.normalize("NFKC", text)
+    now = text if text.isascii() else unicodedata.normalize("NFKC", text)
     if now != text:
         codes.append("W003")
-    plain = html.unescape(_TAG.sub(" ", now))
+    plain = html.unescape(_TAG.sub(" ", now)) if "<" in now or "&" in now else now
     if plain != now:
         codes.append("W002")
     kept = _CONTROL.sub("", plain)

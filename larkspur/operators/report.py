@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import Limits
+from ..storage import together
 
 
 def counts_by_code(rejects: DataFrame) -> DataFrame:
@@ -32,14 +33,16 @@ def pass_rate(read: int, accepted: int) -> float:
 
 def build(accepted: DataFrame, rejects: DataFrame, limits: Limits, **facts) -> dict:
     """The report; only a few counts and at most ``limits.examples`` rows a code come to the driver."""
-    by_code = {r["code"]: r["n"] for r in counts_by_code(rejects).collect()}
-    warned = {r["warning"]: r["n"] for r in warning_counts(accepted).collect()}
+    codes, warned, first, good = together(
+        lambda: counts_by_code(rejects).collect(), lambda: warning_counts(accepted).collect(), lambda: examples(rejects, limits).collect(), accepted.count,
+    )
+    by_code = {r["code"]: r["n"] for r in codes}
     shown: dict[str, list] = {code: [] for code in by_code}
-    for r in sorted(examples(rejects, limits).collect(), key=lambda r: (r["code"], r["rank"])):
+    for r in sorted(first, key=lambda r: (r["code"], r["rank"])):
         shown[r["code"]].append({"line": r["line_no"], "detail": r["detail"], "excerpt": r["excerpt"]})
-    good, bad = accepted.count(), sum(by_code.values())
+    bad = sum(by_code.values())
     totals = {"read": good + bad, "accepted": good, "rejected": bad, "pass_rate": round(pass_rate(good + bad, good), 6)}
-    return facts | {"totals": totals, "rejections_by_code": by_code, "warnings_by_code": warned, "examples": shown}
+    return facts | {"totals": totals, "rejections_by_code": by_code, "warnings_by_code": {r["warning"]: r["n"] for r in warned}, "examples": shown}
 
 
 def summary(report: dict) -> str:

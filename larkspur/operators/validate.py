@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..schema import CLEAN_COLUMNS, Limits
 from ..sources.lines import input_files, numbered_lines
-from ..storage import clean_up, file_sha256, fixed, is_file, make_dirs, scratch_tables, write_json, write_lines
+from ..storage import clean_up, file_sha256, fixed, is_file, make_dirs, scratch_tables, together, write_json, write_lines
 from . import report as reports
 from .dedup import duplicates
 from .records import judged
@@ -61,17 +61,21 @@ def validate(spark: SparkSession, source: str, out_dir: str, *, limits: Limits =
     began, out, before = time.monotonic(), out_dir.rstrip("/"), scratch_tables()
     make_dirs(spark, out)
     done = validate_lines(numbered_lines(spark, source, limit), limits)
-    done.accepted.drop("print").write.mode("overwrite").parquet(f"{out}/clean.parquet")
-    done.rejects.write.mode("overwrite").parquet(f"{out}/rejected.parquet")
+    together(
+        lambda: done.accepted.drop("print").write.mode("overwrite").parquet(f"{out}/clean.parquet"),
+        lambda: done.rejects.write.mode("overwrite").parquet(f"{out}/rejected.parquet"),
+    )
     accepted = spark.read.schema(done.accepted.drop("print").schema).parquet(f"{out}/clean.parquet")
     rejects = spark.read.schema(done.rejects.schema).parquet(f"{out}/rejected.parquet")
     clean_up(before)
-    if ordered_files:
-        write_lines(clean_lines(accepted), "line_no", "told", f"{out}/ads_clean.jsonl")
-        write_lines(reject_lines(rejects), "line_no", "told", f"{out}/ads_rejected.jsonl")
     files = input_files(spark, source)
-    digest = file_sha256(spark, files[0]) if len(files) == 1 else None
-    report = reports.build(accepted, rejects, limits, input_path=source, input_sha256=digest, config=limits.config() | {"limit": limit}, duration_seconds=round(time.monotonic() - began, 3))
+    jobs = [lambda: reports.build(accepted, rejects, limits), lambda: file_sha256(spark, files[0]) if len(files) == 1 else None]
+    if ordered_files:
+        jobs.append(lambda: write_lines(clean_lines(accepted), "line_no", "told", f"{out}/ads_clean.jsonl"))
+        jobs.append(lambda: write_lines(reject_lines(rejects), "line_no", "told", f"{out}/ads_rejected.jsonl"))
+    counts, digest, *_ = together(*jobs)
+    facts = dict(input_path=source, input_sha256=digest, config=limits.config() | {"limit": limit}, duration_seconds=round(time.monotonic() - began, 3))
+    report = facts | counts
     write_json(spark, f"{out}/validation_report.json", report)
     totals = report["totals"]
     if fail_under is not None and reports.pass_rate(totals["read"], totals["accepted"]) < fail_under:

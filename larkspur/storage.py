@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +43,12 @@ def scratch_tables() -> int:
     return len(_scratch)
 
 
+def together(*jobs: Callable) -> list:
+    """What each of the jobs gives; they run side by side, as none needs another."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(j) for j in jobs]]
+
+
 def _at(spark: SparkSession, path: str):
     """The path and its file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
