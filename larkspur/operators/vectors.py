@@ -41,6 +41,12 @@ def integrity(vectors: DataFrame, dim: int, row: str = "row", vector: str = "vec
     )
 
 
+def scored(bundle: DataFrame, query: list[float], row: str = "row", vector: str = "vector") -> DataFrame:
+    """row, score of every row."""
+    q = F.array(*(F.lit(float(x)) for x in query))
+    return bundle.select(F.col(row).alias("row"), dot(q, F.col(vector)).alias("score"))
+
+
 def top_k(bundle: DataFrame, query: list[float], k: int, row: str = "row", vector: str = "vector") -> DataFrame:
     """row, score of the k highest dot products, ties to the smaller row. k above the count gives all, k < 1 none."""
     if not np.isfinite(query).all():
@@ -48,8 +54,7 @@ def top_k(bundle: DataFrame, query: list[float], k: int, row: str = "row", vecto
     found = bundle.where(F.size(vector) != len(query)).limit(1).collect()
     if found:
         raise ValueError(f"the query has {len(query)} dimensions, row {found[0][row]} has {len(found[0][vector])}")
-    q = F.array(*(F.lit(float(x)) for x in query))
-    return bundle.select(F.col(row).alias("row"), dot(q, F.col(vector)).alias("score")).orderBy(F.desc("score"), "row").limit(max(k, 0))
+    return scored(bundle, query, row, vector).orderBy(F.desc("score"), "row").limit(max(k, 0))
 
 
 def _score(queries: list[tuple[int, list[float]]], k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,10 +42,9 @@ def _pick(options: list[str], tag: str, seed: int) -> Column:
 
 def _of_category(at: int, tag: str, seed: int) -> Column:
     """A maker (0) or goods (1) of the row's own category."""
-    out, category = F, F.pmod(_h("category", seed), F.lit(len(CATEGORIES)))
-    for n, name in enumerate(sorted(CATEGORIES)):
-        out = out.when(category == n, _pick(_GOODS[name][at].split("|"), tag, seed))
-    return out
+    of = F.array(*(F.lit(_GOODS[name][at]) for name in sorted(CATEGORIES)))
+    options = F.split(F.get(of, F.pmod(_h("category", seed), F.lit(len(CATEGORIES))).cast("int")), r"\|")
+    return F.get(options, F.pmod(_h(tag, seed), F.size(options)).cast("int"))
 
 
 def _unit(tag: str, seed: int) -> Column:
@@ -58,6 +57,8 @@ def base_records(spark: SparkSession, count: int, seed: int, now: str = "2026-01
     rows = spark.range(count).withColumnRenamed("id", "i")
     look, deal, category, hook = (_pick(o, t, seed) for o, t in ((_LOOKS, "look"), (_DEALS, "deal"), (sorted(CATEGORIES), "category"), (_HOOKS, "hook")))
     maker, goods = (_of_category(at, t, seed) for at, t in ((0, "maker"), (1, "goods")))
+    rows = rows.select("i", *(c.alias(n) for c, n in ((maker, "maker"), (goods, "goods"), (look, "look"), (deal, "deal"), (hook, "hook"), (category, "category"))))
+    maker, goods, look, deal, hook = map(F.col, ("maker", "goods", "look", "deal", "hook"))
     tail = F.concat(F.lit(" no. "), F.col("i") + 1)
     join = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts), tail)
     forms = [
@@ -68,7 +69,7 @@ def base_records(spark: SparkSession, count: int, seed: int, now: str = "2026-01
     gauss = F.sqrt(-2 * F.log(_unit("g1", seed))) * F.cos(2 * F.pi() * _unit("g2", seed))
     age = (F.pow(_unit("age", seed), 2) * 180 * 86400).cast("long")
     return rows.select(
-        "i", F.format_string("ad_%07d", "i").alias("ad_id"), headline.alias("headline"), F.concat(_pick(_HOOKS, "hook2", seed), F.lit(". "), F.initcap(goods), F.lit(" of "), maker, F.lit(". "), F.initcap(deal), F.lit(".")).alias("description"), category.alias("category"),
+        "i", F.format_string("ad_%07d", "i").alias("ad_id"), headline.alias("headline"), F.concat(_pick(_HOOKS, "hook2", seed), F.lit(". "), F.initcap(goods), F.lit(" of "), maker, F.lit(". "), F.initcap(deal), F.lit(".")).alias("description"), "category",
         F.format_string("adv_%04d", F.pmod(_h("adv", seed), F.lit(400)) + 1).alias("advertiser_id"), F.round(F.least(F.exp(0.9 + 0.6 * gauss), F.lit(45.0)), 2).alias("bid_cpm_usd"),
         F.date_format(F.timestamp_seconds(F.unix_timestamp(F.to_timestamp(F.lit(now))) - age), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
     )
@@ -91,25 +92,29 @@ def assigned(rows: DataFrame, count: int, seed: int) -> DataFrame:
     return order.join(known, F.shiftright("slot", 33) == F.col("part")).select("i", defect.alias("defect"), ((at >= start) & (at < start + count * NOISE // 1000)).alias("noised"))
 
 
-def earlier_source(rows: DataFrame, chosen: DataFrame, seed: int) -> DataFrame:
-    """i and j: for each repeat a clean row before it. Both are sorted together; each repeat takes the nearest clean row
-    below a random point before it, within blocks of rows, or from the last clean row of the blocks before."""
-    block = 4096
-    clean = chosen.where("defect IS NULL AND NOT noised").select(F.col("i").alias("at"), F.col("i").alias("j"), F.lit(None).cast("long").alias("i"))
-    point = F.pmod(_h("source", seed), F.col("i"))
-    asks = chosen.where(F.col("defect").isin("E010", "E011")).select(point.alias("at"), F.lit(None).cast("long").alias("j"), "i")
-    events = clean.unionByName(asks).withColumn("b", F.col("at").cast("long") / block).withColumn("b", F.floor("b"))
+def nearest_before(known: DataFrame, asks: DataFrame, block: int = 4096) -> DataFrame:
+    """i, j: for each ask (i, at) the largest known ``at`` that is no more than its own, or null. Both are sorted together
+    within blocks of numbers; what a block lacks comes from the last known one of all blocks before, one row a block."""
+    events = known.select("at", F.col("at").alias("j"), F.lit(None).cast("long").alias("i")).unionByName(asks.select("at", F.lit(None).cast("long").alias("j"), "i"))
+    events = events.withColumn("b", F.floor(F.col("at") / block))
     w = W.partitionBy("b").orderBy("at", F.col("j").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
     near = events.withColumn("j", F.last("j", True).over(w)).where("i IS NOT NULL")
-    ends = events.groupBy("b").agg(F.max("j").alias("end")).select((F.col("b") + 1).alias("next"), "end")
-    first = clean.agg(F.min("j")).first()[0]
-    found = near.join(ends, F.col("b") == F.col("next"), "left").select("i", F.coalesce("j", "end", F.lit(first)).alias("j"))
-    return found.where("j < i")
+    ends = events.groupBy("b").agg(F.max("j").alias("last"))
+    ends = ends.select(F.col("b").alias("block"), F.max("last").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)).alias("end"))
+    return near.join(ends, F.col("b") == F.col("block")).select("i", F.coalesce("j", "end").alias("j"))
+
+
+def earlier_source(rows: DataFrame, chosen: DataFrame, seed: int) -> DataFrame:
+    """i and j: for each repeat the nearest clean row below a random point before it, or the first clean one."""
+    clean = chosen.where("defect IS NULL AND NOT noised").select(F.col("i").alias("at"))
+    asks = chosen.where(F.col("defect").isin("E010", "E011")).select("i", F.pmod(_h("source", seed), F.col("i")).alias("at"))
+    first = clean.agg(F.min("at")).first()[0]
+    return nearest_before(clean, asks).select("i", F.coalesce("j", F.lit(first)).alias("j")).where("j < i")
 
 
 def raw_lines(spark: SparkSession, count: int, seed: int, now: str = "2026-01-01T00:00:00Z") -> tuple[DataFrame, DataFrame]:
     """(i, line) and (i, defect, noised)."""
-    rows = base_records(spark, count, seed, now)
+    rows = fixed(base_records(spark, count, seed, now))
     chosen = fixed(assigned(rows, count, seed))
     source = earlier_source(rows, chosen, seed)
     old = rows.select(F.col("i").alias("j"), F.col("ad_id").alias("old_id"), F.col("headline").alias("old_headline"), F.col("description").alias("old_description"))
@@ -155,7 +160,7 @@ def raw_lines(spark: SparkSession, count: int, seed: int, now: str = "2026-01-01
         for n, field in lost.items():
             gone = gone | (is_("E002") & (kind(10) == n + 5)) if field == c else gone
         parts.append(F.when(~F.coalesce(gone, F.lit(False)), F.concat(F.lit(f'"{c}": '), value)))
-    line = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    line = F.concat(F.lit("{"), F.concat_ws(", ", F.array_compact(F.array(*parts))), F.lit("}"))
     line = F.when(is_("E001"), F.left(line, 20 + F.pmod(_h("cut", seed), F.lit(41)).cast("int"))).otherwise(line)
     return r.select("i", line.alias("line")), chosen.select("i", "defect", "noised")
 

@@ -33,6 +33,14 @@ def fixed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which stays until ``clean_up``."""
+    path = f"{_shared_dir(spark)}/larkspur-core-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    make_dirs(spark, path)
+    return f"{path}/{name}"
+
+
 def clean_up(since: int = 0) -> None:
     """Delete the scratch tables, but for the first ``since``; to be called when what reads them is written."""
     while len(_scratch) > since:
