@@ -17,21 +17,29 @@ with the longest word, the rest is bounded by ``SLICE`` bytes or one text.
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 SLICE = 1_000_000
 WORDS_KEPT = 150_000
+#: Bytes of the largest vocabulary file that is broadcast.
+LARGEST = 64 << 20
+_FIRST, _SECOND = itemgetter(0), itemgetter(1)
+_loaded: dict[str, "WordBPE"] = {}
 #: Bits of an id in a pair; the largest number stands between words.
 _ID = 24
 _END = (1 << _ID) - 1
@@ -65,9 +73,12 @@ def byte_letters() -> list[str]:
 class WordBPE:
     """A vocabulary, its ranks and the encodings found so far."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, source: str | bytes):
+        """source: a file's path, or what it holds."""
+        if isinstance(source, str):
+            with open(source, "rb") as f:
+                source = f.read()
+        spec = json.loads(source)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"]
@@ -92,8 +103,15 @@ class WordBPE:
             made[z] = max(made[z], rank)
         #: Whether each merge ranks after all that make its parts; then ascending ranks never go back.
         self.ascending = all(rank > max(made.get(a, -1), made.get(b, -1)) for a, b, rank in ((k >> _ID, k & _END, v[0]) for k, v in self.ranks.items()))
-        self.known: dict[str, tuple[int, ...]] = {t: (i,) for t, i in self.special.items()}
-        self.older: dict[str, tuple[int, ...]] = {}
+        #: A word to its ids as bytes, and to what they decode to.
+        self.known: dict[str, tuple[bytes, str]] = self._specials()
+        self.older: dict[str, tuple[bytes, str]] = {}
+
+    def _specials(self) -> dict[str, tuple[bytes, str]]:
+        return {t: self._found([i]) for t, i in self.special.items()}
+
+    def _found(self, ids: list[int]) -> tuple[bytes, str]:
+        return array("i", ids).tobytes(), self.decode(ids)
 
     def split(self, text: str) -> list[str]:
         """Words of a text after normalisation; special tokens stay whole."""
@@ -117,7 +135,7 @@ class WordBPE:
     def learn(self, words: set[str]) -> None:
         """Encode words that aren't known yet."""
         if len(self.known) > WORDS_KEPT:
-            self.known, self.older = {t: (i,) for t, i in self.special.items()}, self.known
+            self.known, self.older = self._specials(), self.known
         new = []
         for w in words.difference(self.known):
             if (ids := self.older.get(w)) is None:
@@ -128,13 +146,13 @@ class WordBPE:
             self._index(new)
         else:
             for w in new:  # a merge may rank before one that makes its parts: one word at a time, one merge at a time
-                self.known[w] = self._stepwise(w)
+                self.known[w] = self._found(self._stepwise(w))
 
     def _symbols(self, word: str) -> list[int]:
         b = word.encode()
         return [*(self.inner[x] for x in b[:-1]), self.final[b[-1]]]
 
-    def _stepwise(self, word: str) -> tuple[int, ...]:
+    def _stepwise(self, word: str) -> list[int]:
         s, ranks = self._symbols(word), self.ranks
         while len(s) > 1:
             best = min(((ranks[p][0], i) for i, p in enumerate(a << _ID | b for a, b in zip(s, s[1:], strict=False)) if p in ranks), default=None)
@@ -142,7 +160,7 @@ class WordBPE:
                 break
             i = best[1]
             s[i : i + 2] = [ranks[s[i] << _ID | s[i + 1]][1]]
-        return tuple(s)
+        return s
 
     def _index(self, words: list[str]) -> None:
         ranks, inner, final = self.ranks, self.inner, self.final
@@ -187,13 +205,21 @@ class WordBPE:
             while (x := sym[i]) != _END:
                 out.append(x)
                 i = after[i]
-            self.known[w] = tuple(out)
+            self.known[w] = self._found(out)
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def encode_all(self, texts: list[str | None]) -> tuple[list[bytes], list[str]]:
+        """For each text its ids, as bytes of 32-bit numbers, and what they decode to."""
         split = [self.split(t) if t else [] for t in texts]
         self.learn(set(chain.from_iterable(split)))
-        get = self.known.__getitem__
-        return [list(chain.from_iterable(map(get, words))) for words in split]
+        get, ids, back = self.known.__getitem__, [], []
+        for words in split:
+            found = list(map(get, words))
+            ids.append(b"".join(map(_FIRST, found)))
+            back.append(" ".join(map(_SECOND, found)))
+        return ids, back
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        return [array("i", x).tolist() for x in self.encode_all(texts)[0]]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.names.__getitem__, ids))
@@ -201,10 +227,27 @@ class WordBPE:
 
 @functools.cache
 def load(path: str) -> WordBPE:
-    """One vocabulary for each worker process and path."""
+    """One vocabulary for each process and path."""
     return WordBPE(path)
 
 
+class Shared:
+    """A vocabulary on its way to the workers: the driver's file, of at most ``LARGEST`` bytes, as a broadcast."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        with open(path, "rb") as f:
+            held = f.read(LARGEST + 1)
+        if len(held) > LARGEST:
+            raise ValueError(f"{path} has more than {LARGEST} bytes")
+        self.name, self.held = hashlib.sha256(held).hexdigest(), spark.sparkContext.broadcast(held)
+
+    def get(self) -> WordBPE:
+        """One vocabulary for each worker process and content, with the words that it knows so far."""
+        if self.name not in _loaded:
+            _loaded[self.name] = WordBPE(self.held.value)
+        return _loaded[self.name]
+
+
 def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most ``SLICE`` bytes of text in all, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
@@ -218,18 +261,20 @@ def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(s)
 
 
-def _encode(path: str, at: int, decoded: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bpe = load(path)
+def _encode(shared: Shared, at: int, decoded: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bpe = shared.get()
     for batch in batches:
         for part in _slices(batch, at):
-            ids = bpe.encode(part.column(at).to_pylist())
-            new = {"ids": pa.array(ids, pa.list_(pa.int32()))} | ({"decoded": pa.array(map(bpe.decode, ids), pa.string())} if decoded else {})
+            ids, back = bpe.encode_all(part.column(at).to_pylist())
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            new = {"ids": lists} | ({"decoded": pa.array(back, pa.string())} if decoded else {})
             rest = [i for i in range(part.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), *new.values()], [*(part.schema.names[i] for i in rest), *new])
 
 
-def _decode(path: str, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bpe = load(path)
+def _decode(shared: Shared, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bpe = shared.get()
     for batch in batches:
         for s in range(0, batch.num_rows, 256):
             part = batch.slice(s, 256)
@@ -241,10 +286,10 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text
     """The columns in ``keep``, and ids: the text's token ids; with ``decoded``, also the text that they decode to."""
     chosen = docs.select(*keep, text)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(functools.partial(_encode, path, len(keep), decoded), f"{types}, ids array<int>" + ", decoded string" * decoded)
+    return chosen.mapInArrow(functools.partial(_encode, Shared(docs.sparkSession, path), len(keep), decoded), f"{types}, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The table and decoded: the text of its column ids."""
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(functools.partial(_decode, path, encoded.columns.index("ids")), f"{types}, decoded string")
+    return encoded.mapInArrow(functools.partial(_decode, Shared(encoded.sparkSession, path), encoded.columns.index("ids")), f"{types}, decoded string")
