@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -103,7 +104,13 @@ def replace(spark: SparkSession, source: str, target: str) -> None:
     b, _ = _at(spark, target)
     options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
     options[0] = hadoop.Options.Rename.OVERWRITE
-    hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(a), fs.makeQualified(b), options)
+    try:
+        context = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    except Py4JJavaError:  # a store without that interface: two steps
+        fs.delete(b, False)
+        rename(spark, source, target)
+        return
+    context.rename(fs.makeQualified(a), fs.makeQualified(b), options)
 
 
 def read_text(spark: SparkSession, path: str) -> str:
