@@ -38,6 +38,14 @@ def validate_lines(lines: DataFrame, limits: Limits = Limits(), taken: DataFrame
     return Validated(good.select("line_no", "warnings", *CLEAN_COLUMNS, "print"), rejects)
 
 
+def gate(report: dict, fail_under: float) -> None:
+    """GateError if the share of accepted records that a report tells is below ``fail_under``. A run's counts don't depend
+    on the gate, so one report can be held against any number of them."""
+    totals = report["totals"]
+    if reports.pass_rate(totals["read"], totals["accepted"]) < fail_under:
+        raise GateError(f"pass rate {totals['pass_rate']:.4f} is below {fail_under}")
+
+
 def reject_lines(rejects: DataFrame) -> DataFrame:
     """line_no, told: each reject as a line of JSON, with the record as it came (null if it isn't JSON)."""
     payload = F.when(F.col("code") == "E001", F.lit("null")).otherwise(F.trim("line"))
@@ -77,7 +85,6 @@ def validate(spark: SparkSession, source: str, out_dir: str, *, limits: Limits =
     facts = dict(input_path=source, input_sha256=digest, config=limits.config() | {"limit": limit}, duration_seconds=round(time.monotonic() - began, 3))
     report = facts | counts
     write_json(spark, f"{out}/validation_report.json", report)
-    totals = report["totals"]
-    if fail_under is not None and reports.pass_rate(totals["read"], totals["accepted"]) < fail_under:
-        raise GateError(f"pass rate {totals['pass_rate']:.4f} is below {fail_under}")
+    if fail_under is not None:
+        gate(report, fail_under)
     return report
