@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .types import struct
+from .types import slices, struct, struct_array
 
 # What counts as a tag and as a control character.
 TAG = r"<[^>]{1,200}>"
@@ -68,16 +69,23 @@ def clean_one(text: str) -> tuple[str, list[str]]:
     return done, codes
 
 
-@F.pandas_udf(struct("text string, warnings array<string>"))
-def clean_text(texts: pd.Series) -> pd.DataFrame:
+_CLEANED = "text string, warnings array<string>"
+
+
+@F.arrow_udf(struct(_CLEANED))
+def clean_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Null stays null, with no warnings."""
-    done = [clean_one(t) if t is not None else (None, []) for t in texts]
-    return pd.DataFrame({"text": [d[0] for d in done], "warnings": [d[1] for d in done]}, dtype=object)
+    for part in slices(batches):
+        yield struct_array(_CLEANED, [clean_one(t) if t is not None else (None, []) for t in part.to_pylist()])
+
+
+@F.arrow_udf(StringType())
+def _casefold(texts: pa.Array) -> pa.Array:
+    return pa.concat_arrays([pa.array([None if t is None else t.casefold() for t in part.to_pylist()], pa.string()) for part in slices([texts])] or [texts])
 
 
-@F.pandas_udf(StringType())
-def casefold(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else t.casefold())
+def casefold(text: Column | str) -> Column:
+    return _casefold(text)
 
 
 def fingerprint(headline: Column, description: Column) -> Column:

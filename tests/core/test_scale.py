@@ -1,7 +1,9 @@
 """What keeps the figures of larger tables in bounds."""
 
+import pyarrow as pa
 import pytest
 
+from larkspur.functions import cleaning, types
 from larkspur.operators.validate import GateError, gate
 from larkspur.plans import catalog, stages
 
@@ -21,3 +23,19 @@ def test_gate_of_a_report():
     gate({"totals": {"read": 0, "accepted": 0, "pass_rate": 1.0}}, 1.0)
     with pytest.raises(GateError, match="0.2500 is below 0.26"):
         gate(report, 0.26)
+
+
+def test_texts_in_slices(monkeypatch):
+    monkeypatch.setattr(types, "BYTES", 10)
+    monkeypatch.setattr(types, "ROWS", 3)
+    texts = ["aaaa", None, "éé", "x", "long enough to go alone", "", "bbbbbbbbbb", "c"]
+    parts = [p.to_pylist() for p in types.slices([pa.array(texts), pa.array([], pa.string()), pa.array(["z"])])]
+    assert parts == [["aaaa", None, "éé"], ["x"], ["long enough to go alone"], ["", "bbbbbbbbbb"], ["c"], ["z"]]
+
+
+def test_cleaning_answers_slice_by_slice():
+    """A batch of long texts is answered in parts, each of a bounded size."""
+    texts = pa.array([f"<b>{'é' * 50_000} {i}" for i in range(100)])
+    parts = list(cleaning.clean_text.func(iter([texts])))
+    assert sum(map(len, parts)) == 100 and max(map(len, parts)) <= types.BYTES // 100_000
+    assert [x["text"][-2:].strip() for p in parts for x in p.to_pylist()] == [str(i) for i in range(100)]
