@@ -85,7 +85,10 @@ def _casefold(texts: pa.Array) -> pa.Array:
 
 
 def casefold(text: Column | str) -> Column:
-    return _casefold(text)
+    """Of pure ASCII it is lower case, which needs no crossing to Python; the other texts cross."""
+    text = F.col(text) if isinstance(text, str) else text
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(_casefold(F.when(~ascii_only, text)))
 
 
 def fingerprint(headline: Column, description: Column) -> Column:

@@ -39,3 +39,11 @@ def test_cleaning_answers_slice_by_slice():
     parts = list(cleaning.clean_text.func(iter([texts])))
     assert sum(map(len, parts)) == 100 and max(map(len, parts)) <= types.BYTES // 100_000
     assert [x["text"][-2:].strip() for p in parts for x in p.to_pylist()] == [str(i) for i in range(100)]
+
+
+def test_casefold_sends_only_what_needs_it(spark):
+    texts = ["Plain ASCII", "", None, "STRASSE ß", "İstanbul", "K", "ﬁ", "ΣΑΣ", "a\x7fB\n"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", "t", cleaning.casefold("t").alias("c"))
+    assert [r["c"] for r in rows.orderBy("i").collect()] == [None if t is None else t.casefold() for t in texts]
+    crossing = next(x for x in rows._jdf.queryExecution().executedPlan().toString().split("\n") if "ArrowEvalPython" in x)
+    assert "octet_length" in rows._jdf.queryExecution().optimizedPlan().toString() and "_casefold(t#" not in crossing
