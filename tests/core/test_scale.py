@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 
 from larkspur.functions import cleaning, types
+from larkspur.operators import embed
 from larkspur.operators.validate import GateError, gate
 from larkspur.plans import catalog, stages
 
@@ -47,3 +48,23 @@ def test_casefold_sends_only_what_needs_it(spark):
     assert [r["c"] for r in rows.orderBy("i").collect()] == [None if t is None else t.casefold() for t in texts]
     crossing = next(x for x in rows._jdf.queryExecution().executedPlan().toString().split("\n") if "ArrowEvalPython" in x)
     assert "octet_length" in rows._jdf.queryExecution().optimizedPlan().toString() and "_casefold(t#" not in crossing
+
+
+def test_embedding_takes_a_slice_at_a_time():
+    """A batch of long texts reaches the embedder in bounded parts, and every row comes out in order."""
+    asked = []
+
+    class Watched(embed.BucketEmbedder):
+        def count_tokens(self, texts):
+            asked.append(len(texts))
+            return super().count_tokens(texts)
+
+        def encode(self, texts, batch_size):
+            asked.append(len(texts))
+            return super().encode(texts, batch_size)
+
+    n, one = 64, Watched(8)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["a"] * n), pa.array(["word " * 20_000] * n)], ["row", "ad_id", "text"])
+    out = pa.Table.from_batches(embed._vectors(one, 256, embed._counts(one, iter([batch, batch.slice(0, 0)]))))
+    assert out.column("row").to_pylist() == list(range(n)) and set(out.column("n_tokens").to_pylist()) == {20_002}
+    assert max(asked) <= types.BYTES // 100_000 and sum(asked) == 2 * n
