@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import clean_one, doubles, read_bid, read_time
-from ..functions.types import struct
+from ..functions.cleaning import clean_one, read_bid, read_time
+from ..functions.types import slices, struct, struct_array
 from ..schema import REQUIRED, TEXT_FIELDS, Limits
 
 _READ = (
@@ -48,12 +49,12 @@ def _read_line(line: str) -> tuple:
     return (None, None, None, raw["ad_id"].strip(), headline, description, category.lower(), raw["advertiser_id"].strip(), bid, repr(raw["bid_cpm_usd"]), time, raw["created_at"], warnings, folded)
 
 
-@F.pandas_udf(struct(_READ))
-def read_record(lines: pd.Series) -> pd.DataFrame:
-    """One crossing to Python for all that needs it: strict JSON, NFKC, entities, case folding, Python's numbers and dates."""
-    names = [c.split()[0] for c in _READ.split(", ")]
-    out = pd.DataFrame([_read_line(x) for x in lines], columns=names, dtype=object)
-    return out.assign(bid=doubles(out["bid"].tolist()))
+@F.arrow_udf(struct(_READ))
+def read_record(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """One crossing to Python for all that needs it: strict JSON, NFKC, entities, case folding, Python's numbers and dates.
+    Lines become Python's objects a bounded slice at a time."""
+    for part in slices(batches):
+        yield struct_array(_READ, [_read_line(x) for x in part.to_pylist()])
 
 
 def _fails(code: str, when: Column, detail: Column) -> Column:

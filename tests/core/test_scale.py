@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 
 from larkspur.functions import cleaning, types
-from larkspur.operators import embed
+from larkspur.operators import embed, records
 from larkspur.operators.validate import GateError, gate
 from larkspur.plans import catalog, stages
 
@@ -68,3 +68,10 @@ def test_embedding_takes_a_slice_at_a_time():
     out = pa.Table.from_batches(embed._vectors(one, 256, embed._counts(one, iter([batch, batch.slice(0, 0)]))))
     assert out.column("row").to_pylist() == list(range(n)) and set(out.column("n_tokens").to_pylist()) == {20_002}
     assert max(asked) <= types.BYTES // 100_000 and sum(asked) == 2 * n
+
+
+def test_records_are_read_slice_by_slice():
+    lines = pa.array(['{"ad_id": "a", "headline": "%s"}' % ("h" * 100_000)] * 50 + ["{"])
+    parts = list(records.read_record.func(iter([lines])))
+    assert sum(map(len, parts)) == 51 and max(map(len, parts)) <= types.BYTES // 100_000 + 1
+    assert [x["state"] for p in parts for x in p.to_pylist()] == ["missing"] * 50 + ["json"]
