@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,11 @@ from pyspark.sql import functions as F
 TOLERANCE = 1e-3
 #: A default: rows of queries that go out at once; with vectors of 1,024 floats, 8 MB.
 QUERIES_AT_ONCE = 2048
-#: Rows of a block, and of a group of blocks that meet in one cell of the grid.
-BLOCK, ROWS_IN_CELL = 1024, 65_536
+#: Rows of a block, and of the groups of vectors and of queries that meet in one cell of the grid: the work of one task,
+#: whatever the size of the tables. More cells than ``TASKS`` share tasks.
+BLOCK, ROWS_IN_CELL, QUERIES_IN_CELL, TASKS = 1024, 65_536, 4096, 8192
+#: Pairs that are scored anew at a time.
+_PAIRS = 65_536
 
 
 def norm(v: Column) -> Column:
@@ -57,48 +61,118 @@ def top_k(bundle: DataFrame, query: list[float], k: int, row: str = "row", vecto
     return scored(bundle, query, row, vector).orderBy(F.desc("score"), "row").limit(max(k, 0))
 
 
-def _score(queries: list[tuple[int, list[float]]], k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids = np.array([q for q, _ in queries], np.int64)
-    q = np.array([v for _, v in queries], float)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = batch.column(0).to_numpy(zero_copy_only=False)
-        v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
-        by_row = np.argsort(rows, kind="stable")
-        rows, scores = rows[by_row], q @ v[by_row].T
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(rows[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], ["query_id", "row", "score"])
-
-
-def _packed(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (number, vector) as blocks: the numbers, the vectors' doubles, and their length."""
+class _Best:
+    """The k best rows of each query among the vectors shown so far, ties to the smaller row; NaN is above all numbers, as
+    SQL has it."""
+
+    def __init__(self, ids: np.ndarray, asked: np.ndarray, k: int):
+        self.ids, self.asked, self.k = ids, asked, k
+        self.least = np.full(len(ids), -np.inf)
+        self.q, self.rows, self.scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def show(self, rows: np.ndarray, vectors: np.ndarray) -> None:
+        rows, vectors = self._distinct(rows, vectors)
+        scores = self.asked @ vectors.T
+        least = self.least
+        if len(rows) > self.k and not len(self.q):
+            least = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1]
+        # A matrix product may round one dot product differently by its place: what may reach the k-th is scored anew.
+        slack = 4e-16 * vectors.shape[1] * np.abs(self.asked).sum(axis=1) * np.abs(vectors[np.isfinite(vectors)]).max(initial=0)
+        q, at = np.nonzero(~(scores < (least - slack)[:, None]))
+        if not len(q):
+            return
+        parts = (slice(i, i + _PAIRS) for i in range(0, len(q), _PAIRS))
+        again = np.concatenate([np.einsum("ij,ij->i", self.asked[q[p]], vectors[at[p]]) for p in parts])
+        q, rows, scores = np.append(self.q, q), np.append(self.rows, rows[at]), np.append(self.scores, again)
+        order = np.lexsort((rows, np.where(np.isnan(scores), -np.inf, -scores), q))
+        q, rows, scores = q[order], rows[order], scores[order]
+        start = np.searchsorted(q, np.arange(len(self.ids)))
+        keep = np.arange(len(q)) - start[q] < self.k
+        last = np.flatnonzero(np.arange(len(q)) - start[q] == self.k - 1)
+        self.least[q[last]] = np.where(np.isnan(scores[last]), np.inf, scores[last])
+        self.q, self.rows, self.scores = q[keep], rows[keep], scores[keep]
+
+    def _distinct(self, rows: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """In order of the rows, and of equal vectors the first k only: the others can't be among the best."""
+        order = np.argsort(rows, kind="stable")
+        rows, vectors = rows[order], np.ascontiguousarray(vectors[order])
+        _, same = np.unique(vectors.view(np.dtype((np.void, vectors.itemsize * vectors.shape[1]))).ravel(), return_inverse=True)
+        by_group = np.argsort(same, kind="stable")
+        first = np.searchsorted(same[by_group], np.arange(same.max(initial=-1) + 1))
+        keep = np.sort(by_group[np.arange(len(same)) - first[same[by_group]] < self.k])
+        return rows[keep], vectors[keep]
+
+    def told(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.q]), pa.array(self.rows), pa.array(self.scores)], ["query_id", "row", "score"])
+
+
+def _best(ids: np.ndarray, asked: np.ndarray, k: int, blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """The best over all blocks of (numbers, vectors); with more than a block's rows to keep, over each."""
+    best = _Best(ids, asked, k)
+    for rows, v in blocks:
+        best.show(rows, v)
+        if k > BLOCK:
+            yield best.told()
+            best = _Best(ids, asked, k)
+    yield best.told()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of (number, vector) as blocks of numbers and vectors."""
     for batch in batches:
-        for s in range(0, batch.num_rows, size):
-            part = batch.slice(s, size)
-            numbers = part.column(0).to_numpy(zero_copy_only=False).astype("<i8")
-            flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8")
-            yield pa.RecordBatch.from_arrays([pa.array([numbers.tobytes()]), pa.array([flat.tobytes()]), pa.array([len(flat) // len(numbers)], pa.int32())], ["numbers", "flat", "dim"])
+        for s in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(s, BLOCK)
+            flat = part.column(1).flatten().to_numpy(zero_copy_only=False)
+            yield part.column(0).to_numpy(zero_copy_only=False), flat.reshape(part.num_rows, -1)
 
 
-def _score_blocks(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            rows, v, ids, q, dim = (batch.column(c)[i].as_py() for c in range(5))
-            asked = list(zip(np.frombuffer(ids, "<i8").tolist(), np.frombuffer(q, "<f8").reshape(-1, dim), strict=True))
-            vectors = pa.FixedSizeListArray.from_arrays(pa.array(np.frombuffer(v, "<f8")), dim)
-            yield from _score(asked, k, iter([pa.RecordBatch.from_arrays([pa.array(np.frombuffer(rows, "<i8")), vectors], ["row", "v"])]))
+def _score(queries: list[tuple[int, list[float]]], k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids, asked = np.array([q for q, _ in queries], np.int64), np.array([v for _, v in queries], float)
+    return _best(ids, asked, k, ((rows, v.astype(float)) for rows, v in _blocks(batches)))
+
+
+def _packed(kind: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks as binary columns: the numbers, the vectors' components, and their length."""
+    for rows, v in _blocks(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([rows.astype("<i8").tobytes()]), pa.array([v.astype(kind).tobytes()]), pa.array([v.shape[1]], pa.int32())], ["numbers", "flat", "dim"])
+
+
+def _score_cells(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks sorted by cell, in each its queries first: a cell's queries are held, and its vectors pass block by block."""
+    each = ([batch.column(c)[i].as_py() for c in range(5)] for batch in batches for i in range(batch.num_rows))
+    for _, blocks in groupby(each, lambda b: b[0]):
+        asked = []
+
+        def vectors(blocks=blocks, asked=asked):
+            for _, is_vector, numbers, flat, dim in blocks:
+                block = np.frombuffer(numbers, "<i8"), np.frombuffer(flat, "<f4" if is_vector else "<f8").reshape(-1, dim)
+                if is_vector:
+                    yield block[0], block[1].astype(float)
+                else:
+                    asked.append(block)
+
+        shown = vectors()
+        first = next(shown, None)
+        if first is not None and asked:
+            ids, q = (np.concatenate(x) for x in zip(*asked, strict=True))
+            yield from _best(ids, q, k, chain([first], shown))
 
 
 def _blockwise(bundle: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Blocks of vectors meet blocks of queries in the cells of a grid, by a keyed join."""
+    """Groups of blocks of vectors meet groups of blocks of queries in the cells of a grid. A task is a cell, of bounded
+    work and memory, and tells k rows a query; the cells have numbers and go where those say, so that none is merged with
+    others for having few bytes."""
     shape = "numbers binary, flat binary, dim int"
-    n, m = bundle.count(), queries.count()
-    down, across = min(max(1, n // ROWS_IN_CELL), 4096), max(1, m // ROWS_IN_CELL)
-    left = bundle.mapInArrow(partial(_packed, BLOCK), shape).withColumn("down", F.monotonically_increasing_id() % down).withColumn("across", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
-    right = queries.mapInArrow(partial(_packed, BLOCK), shape).select(F.col("numbers").alias("ids"), F.col("flat").alias("q"), (F.monotonically_increasing_id() % across).alias("q_across"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("q_down"))
-    met = left.join(right, (F.col("down") == F.col("q_down")) & (F.col("across") == F.col("q_across")))
-    return met.select("numbers", "flat", "ids", "q", "dim").mapInArrow(partial(_score_blocks, k), "query_id long, row long, score double")
+    down, across = (max(1, -(-df.count() // size)) for df, size in ((bundle, ROWS_IN_CELL), (queries, QUERIES_IN_CELL)))
+    group = lambda n: F.pmod(F.xxhash64("numbers"), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cell = (F.col("down") * across + F.col("across")).cast("long").alias("cell")
+    left = bundle.mapInArrow(partial(_packed, "<f4"), shape).select("*", F.lit(1).alias("side"), group(down).alias("down"), each(across).alias("across"))
+    right = queries.mapInArrow(partial(_packed, "<f8"), shape).select("*", F.lit(0).alias("side"), each(down).alias("down"), group(across).alias("across"))
+    met = left.unionByName(right).select(cell, "side", "numbers", "flat", "dim")
+    tasks = min(down * across, TASKS)
+    placed = met.repartitionById(tasks, (F.col("cell") % tasks).cast("int")).sortWithinPartitions("cell", "side")
+    return placed.mapInArrow(partial(_score_cells, k), "query_id long, row long, score double")
 
 
 def _demand_fit(asked: DataFrame, dim: int | None) -> None:
@@ -112,8 +186,8 @@ def _demand_fit(asked: DataFrame, dim: int | None) -> None:
 def search(bundle: DataFrame, queries: DataFrame, k: int, row: str = "row", vector: str = "vector", at_once: int | None = None) -> DataFrame:
     """query_id, rank, row, score for each query (query_id, vector); scores in double precision, ties to the smaller row.
 
-    Up to ``at_once`` queries (``QUERIES_AT_ONCE``, where it isn't given) go out to where the vectors lie: each Arrow batch
-    of vectors is one matrix product and keeps k rows a query. More of them meet the vectors in blocks, and none comes to
+    Up to ``at_once`` queries (``QUERIES_AT_ONCE``, where it isn't given) go out to where the vectors lie: each block of
+    vectors is one matrix product, and each task keeps k rows a query. More of them meet the vectors in blocks, and none comes to
     the driver; 0 makes that the only way. Both give the same rows. ValueError for a query that isn't finite or of the
     vectors' dimension."""
     spark, at_once = bundle.sparkSession, QUERIES_AT_ONCE if at_once is None else at_once

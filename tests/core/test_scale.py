@@ -1,10 +1,13 @@
 """What keeps the figures of larger tables in bounds."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from larkspur.functions import cleaning, types
-from larkspur.operators import embed, records
+from larkspur.operators import embed, records, vectors
 from larkspur.operators.validate import GateError, gate
 from larkspur.plans import catalog, stages
 
@@ -75,3 +78,40 @@ def test_records_are_read_slice_by_slice():
     parts = list(records.read_record.func(iter([lines])))
     assert sum(map(len, parts)) == 51 and max(map(len, parts)) <= types.BYTES // 100_000 + 1
     assert [x["state"] for p in parts for x in p.to_pylist()] == ["missing"] * 50 + ["json"]
+
+
+def _vectors(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row long, vector array<float>")
+
+
+@pytest.mark.parametrize("at_once", [2048, 0])
+def test_equal_vectors_tie_wherever_they_lie(spark, monkeypatch, at_once):
+    """Copies in blocks of other shapes have the same score, and the smaller rows win; a large group of copies too."""
+    monkeypatch.setattr(vectors, "BLOCK", 37)
+    monkeypatch.setattr(vectors, "ROWS_IN_CELL", 60)
+    monkeypatch.setattr(vectors, "QUERIES_IN_CELL", 11)
+    x = np.random.default_rng(5).normal(size=(40, 64)).astype("f4")
+    x = np.vstack([np.tile(x, (5, 1)), np.tile(x[:1], (90, 1)), x[:3]])
+    rows = _vectors(spark, x).repartition(5)
+    got = vectors.search(rows, rows.where("row < 25").withColumnRenamed("row", "query_id"), 7, at_once=at_once).select("query_id", "rank", "row").collect()
+    scores = np.array([[np.dot(a.astype(float), b.astype(float)) for b in x[:40]] for a in x[:25]])
+    of = np.array([*np.tile(np.arange(40), 5), *[0] * 90, 0, 1, 2])
+    want = [(q, n + 1, r) for q in range(25) for n, r in enumerate(sorted(range(len(x)), key=lambda i: (-scores[q, of[i]], i))[:7])]
+    assert sorted(map(tuple, got)) == want
+
+
+def test_cells_bound_the_work_of_a_task(spark, monkeypatch):
+    """Vectors and queries in many cells: as many tasks, and no more rows than k for each query and group of vectors."""
+    monkeypatch.setattr(vectors, "BLOCK", 10)
+    monkeypatch.setattr(vectors, "ROWS_IN_CELL", 50)
+    monkeypatch.setattr(vectors, "QUERIES_IN_CELL", 20)
+    rows = _vectors(spark, np.random.default_rng(6).normal(size=(400, 8)).astype("f4")).repartition(3)
+    found = vectors._blockwise(rows, rows.where("row < 60").select(F.col("row").alias("query_id"), F.col("vector").cast("array<double>")), 3)
+    assert found.rdd.getNumPartitions() == 8 * 3 and found.count() <= 60 * 8 * 3
+
+
+def test_vectors_that_are_no_number_come_first_as_in_sql(spark):
+    rows = _vectors(spark, np.array([[1, 0], [0, 1], [np.nan, 0], [1, 1]], "f4"))
+    for at_once in (2048, 0):
+        got = vectors.search(rows, spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, vector array<double>"), 3, at_once=at_once)
+        assert [r["row"] for r in got.orderBy("rank").collect()] == [2, 0, 3]
