@@ -2,12 +2,13 @@
 
 A version is a folder with vectors.f32 (little-endian rows), ads.jsonl and manifest.json, beside LATEST, which names the
 current one. A version appears by one rename and becomes current by another; nothing is ever overwritten. The files
-are single and ordered by nature: lines are sorted and written in parallel and joined end to end by streams, vectors
-come through one writer, packed, a partition at a time. All paths are those of any store that Spark's readers open.
+are single and ordered by nature: lines and packed vectors are sorted and written in parallel and joined end to end by
+streams. All paths are those of any store that Spark's readers open.
 """
 
 from __future__ import annotations
 
+import binascii
 import functools
 import json
 import re
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..schema import CLEAN, CLEAN_COLUMNS
 from ..sources.lines import numbered_lines
-from ..storage import delete, exists, file_sha256, fixed, is_file, make_dirs, read_text, rename, size, write_chunks, write_json, write_lines, write_text
+from ..storage import delete, exists, file_sha256, fixed, is_file, joined_text, make_dirs, read_text, rename, size, write_json, write_lines, write_text
 from .embed import load_clean
 from .vectors import TOLERANCE, integrity, top_k
 
@@ -126,17 +127,25 @@ def read_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vector to pieces of little-endian floats."""
+    """vector to lines of Base64 of little-endian floats. Each line but a partition's last holds whole groups of three
+    bytes, so that the lines of a partition are one Base64 text."""
+    rest = b""
     for batch in batches:
         for s in range(0, batch.num_rows, _PIECE):
-            flat = batch.column(0).slice(s, _PIECE).flatten().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array([flat.astype("<f4").tobytes()], pa.binary())], ["body"])
+            body = rest + batch.column(0).slice(s, _PIECE).flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes()
+            whole = len(body) - len(body) % 3
+            body, rest = body[:whole], body[whole:]
+            yield pa.RecordBatch.from_arrays([pa.array([binascii.b2a_base64(body, newline=False).decode()])], ["body"])
+    if rest:
+        yield pa.RecordBatch.from_arrays([pa.array([binascii.b2a_base64(rest, newline=False).decode()])], ["body"])
 
 
 def write_vectors(rows: DataFrame, path: str) -> None:
-    """A file of the vectors of row, vector in the order of row; a partition at a time comes to the one writer."""
-    packed = rows.orderBy("row").select("vector").mapInArrow(_packed, "body binary")
-    write_chunks(rows.sparkSession, path, (r[0] for r in packed.toLocalIterator(prefetchPartitions=True)))
+    """A file of the vectors of row, vector in the order of row: sorted and packed in parallel as lines of text, then
+    decoded and joined end to end by streams, so that no vector comes to the driver as a result."""
+    packed, java = rows.orderBy("row").select("vector").mapInArrow(_packed, "body string"), rows.sparkSession._jvm.java
+    decoder = java.util.Base64.getMimeDecoder()
+    joined_text(packed, path, lambda part: decoder.wrap(java.io.BufferedInputStream(part, 1 << 16)))
 
 
 def ends_of(rows: DataFrame) -> DataFrame:

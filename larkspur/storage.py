@@ -159,15 +159,21 @@ def write_json(spark: SparkSession, path: str, content: dict) -> None:
 
 def write_lines(rows: DataFrame, order: str, column: str, path: str) -> None:
     """One file of lines in the order of a column: sorted and written in parallel, then joined end to end by streams."""
+    joined_text(rows.orderBy(order).select(column), path)
+
+
+def joined_text(rows: DataFrame, path: str, read: Callable | None = None) -> None:
+    """One file of lines, written in parallel and joined end to end by streams in the driver's JVM; ``read`` puts another
+    stream, such as a decoder's, around a part's."""
     spark = rows.sparkSession
     folder = f"{_shared_dir(spark)}/larkspur-lines-{uuid.uuid4().hex}"
-    rows.orderBy(order).select(column).write.text(folder)
+    rows.write.text(folder)
     base, fs = _at(spark, folder)
     copy, conf = spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes, spark._jsc.hadoopConfiguration()
     stream = _created(spark, path)
     try:
         for part in sorted((s.getPath() for s in fs.listStatus(base) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName()):
-            piece = fs.open(part)
+            piece = read(fs.open(part)) if read else fs.open(part)
             try:
                 copy(piece, stream, conf, False)
             finally:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import cleaning, types
-from larkspur.operators import embed, records, vectors
+from larkspur.operators import bundle, embed, records, vectors
 from larkspur.operators.validate import GateError, gate
 from larkspur.plans import catalog, stages
 
@@ -115,3 +115,17 @@ def test_vectors_that_are_no_number_come_first_as_in_sql(spark):
     for at_once in (2048, 0):
         got = vectors.search(rows, spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, vector array<double>"), 3, at_once=at_once)
         assert [r["row"] for r in got.orderBy("rank").collect()] == [2, 0, 3]
+
+
+@pytest.mark.parametrize("piece", [1, 2, 4096])
+def test_vectors_are_written_without_the_driver(spark, monkeypatch, tmp_path, piece):
+    """Whatever the lengths of partitions and pieces; no row comes to the driver as a result."""
+    monkeypatch.setattr(bundle, "_PIECE", piece)
+    x = np.random.default_rng(7).normal(size=(101, 5)).astype("<f4")
+    rows = _vectors(spark, x).repartition(3)
+    for way in ("toLocalIterator", "collect"):
+        monkeypatch.setattr(type(rows), way, lambda *a, **named: pytest.fail("rows come to the driver"))
+    bundle.write_vectors(rows, f"file://{tmp_path}/v.f32")
+    assert (tmp_path / "v.f32").read_bytes() == x.tobytes()
+    bundle.write_vectors(rows.where("row < 0"), f"file://{tmp_path}/none.f32")
+    assert (tmp_path / "none.f32").read_bytes() == b""
