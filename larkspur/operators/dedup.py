@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..storage import fixed
 
 TAIL = 50_000
-_KEYS = ("id", "print")
+_KEYS, _LONE = ("id", "print"), ("lone_id", "lone_print")
 
 
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,18 +59,20 @@ def opaque(column: str) -> Column:
 
 def _least(rows: DataFrame, key: str) -> DataFrame:
     """Each key's first line; aggregated before the shuffle, so a hot key is one row for each task."""
-    least = rows.groupBy(key).agg(F.min("line_no").alias(f"first_{key}"), F.count(F.lit(1)).alias(f"n_{key}"))
-    return least.select(opaque(key).alias(f"k_{key}"), f"first_{key}", f"n_{key}")
+    least = rows.groupBy(key).agg(F.min("line_no").alias(f"first_{key}"))
+    return least.select(opaque(key).alias(f"k_{key}"), f"first_{key}")
 
 
 def _with_firsts(rows: DataFrame) -> DataFrame:
+    """Each row with the first line of each of its keys. A lone key's is the row's own, so only the others are joined back."""
     for key in _KEYS:
-        rows = rows.join(_least(rows.select("line_no", *_KEYS), key), F.col(key) == F.col(f"k_{key}")).drop(f"k_{key}")
+        least = _least(rows.where(~F.col(f"lone_{key}")).select("line_no", key), key)
+        rows = rows.join(least, F.col(key) == F.col(f"k_{key}"), "left").withColumn(f"first_{key}", F.coalesce(f"first_{key}", "line_no")).drop(f"k_{key}")
     return rows
 
 
 def _in_conflict(rows: DataFrame, flags: list[str]) -> DataFrame:
-    """Rows that share a key with another, or that a flag marks. Shared keys are few beside the rows: where they are few
+    """Rows that share a key with another, or that a flag marks, and which of their keys are theirs alone. Shared keys are few beside the rows: where they are few
     enough, the planner sends them out and moves no row."""
     shared = [rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(opaque(key).alias(f"shared_{key}")) for key in _KEYS]
     for key, known in zip(_KEYS, shared, strict=True):
@@ -78,7 +80,8 @@ def _in_conflict(rows: DataFrame, flags: list[str]) -> DataFrame:
     met = F.col("shared_id").isNotNull() | F.col("shared_print").isNotNull()
     for flag in flags:
         met = met | F.col(flag).isNotNull()
-    return fixed(rows.where(met).select("line_no", *_KEYS, *flags))
+    lone = [F.col(f"shared_{key}").isNull().alias(f"lone_{key}") for key in _KEYS]
+    return fixed(rows.where(met).select("line_no", *_KEYS, *lone, *flags))
 
 
 def _settled(left: DataFrame, tail: int) -> DataFrame:
@@ -86,14 +89,14 @@ def _settled(left: DataFrame, tail: int) -> DataFrame:
     accepted = []
     while (n := left.count()) > tail:
         firsts = fixed(_with_firsts(left))
-        won = firsts.where("line_no = first_id AND line_no = first_print").select("line_no", *_KEYS)
+        won = firsts.where("line_no = first_id AND line_no = first_print").select("line_no", *_KEYS, *_LONE)
         accepted.append(won.select("line_no"))
-        left = firsts.select("line_no", *_KEYS)
+        left = firsts.where("line_no <> first_id OR line_no <> first_print").select("line_no", *_KEYS, *_LONE)
         for key in _KEYS:
-            left = left.join(won.select(opaque(key).alias("k")), F.col(key) == F.col("k"), "left_anti")
+            left = left.join(won.where(~F.col(f"lone_{key}")).select(opaque(key).alias("k")), F.col(key) == F.col("k"), "left_anti")
         left = fixed(left)
     if n or not accepted:
-        accepted.append(left.coalesce(1).sortWithinPartitions("line_no").mapInArrow(_in_order, "line_no long"))
+        accepted.append(left.select("line_no", *_KEYS).coalesce(1).sortWithinPartitions("line_no").mapInArrow(_in_order, "line_no long"))
     return fixed(functools.reduce(DataFrame.unionByName, accepted))
 
 
@@ -116,7 +119,7 @@ def duplicates(rows: DataFrame, tail: int = TAIL, taken: DataFrame | None = None
     free, before = met, F.lit(False)
     if flags:
         free, before = met.where("old_id IS NULL AND old_print IS NULL"), F.col("old_id").isNotNull()
-    won = _settled(free.select("line_no", *_KEYS), tail)
+    won = _settled(free.select("line_no", *_KEYS, *_LONE), tail)
     out = met.join(won, "line_no", "left_anti").select("line_no", "id", before.alias("before"))
     owners = met.join(won, "line_no", "left_semi").select(opaque("id").alias("owner"), F.col("line_no").alias("owned_at"))
     code = F.when(F.col("before") | (F.col("owned_at") < F.col("line_no")), "E010").otherwise("E011")

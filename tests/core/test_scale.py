@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import cleaning, types
-from larkspur.operators import bundle, embed, records, vectors
+from larkspur.operators import bundle, dedup, embed, records, vectors
 from larkspur.operators.validate import GateError, gate
 from larkspur.plans import catalog, stages
 
@@ -129,3 +129,20 @@ def test_vectors_are_written_without_the_driver(spark, monkeypatch, tmp_path, pi
     assert (tmp_path / "v.f32").read_bytes() == x.tobytes()
     bundle.write_vectors(rows.where("row < 0"), f"file://{tmp_path}/none.f32")
     assert (tmp_path / "none.f32").read_bytes() == b""
+
+
+def test_rounds_join_back_only_shared_keys(spark, monkeypatch):
+    """Lone fingerprints aren't aggregated again in the rounds, and the result is the loop's."""
+    asked = []
+    monkeypatch.setattr(dedup, "_least", lambda rows, key, least=dedup._least: asked.append((key, rows.count())) or least(rows, key))
+    rng = np.random.default_rng(8)
+    rows = [(i, f"u{rng.integers(40)}", f"p{rng.integers(30) if i % 4 == 0 else 1000 + i}") for i in range(300)]
+    got = dedup.duplicates(spark.createDataFrame(rows, "line_no long, id string, print string"), tail=0).collect()
+    ids, prints, want = set(), set(), []
+    for n, i, p in rows:
+        if i in ids or p in prints:
+            want.append((n, "E010" if i in ids else "E011"))
+        else:
+            ids.add(i)
+            prints.add(p)
+    assert sorted(map(tuple, got)) == want and max(n for key, n in asked if key == "print") <= 75
